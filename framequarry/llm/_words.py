@@ -61,6 +61,18 @@ def unpack_ints(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{width}", offset=9).astype(np.uint64).view(np.int64) + np.int64(low)
 
 
+def pack_sorted(a: np.ndarray) -> bytes:
+    """Ascending int64 values as the first and their steps."""
+    return struct.pack("<q", int(a[0])) + pack_ints(np.diff(a)) if len(a) else b""
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    if not b:
+        return np.empty(0, np.int64)
+    (first,) = struct.unpack_from("<q", b)
+    return np.concatenate([[first], first + np.cumsum(unpack_ints(b[8:]))])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows, so that few texts are Python objects at once."""
     for b in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.llm._common import NULL_ID
-from framequarry.llm._words import mixed, pack_ints, slices, unpack_ints, window_hashes, word_hashes
+from framequarry.llm._words import mixed, pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted, window_hashes, word_hashes
 
 #: A perfect difference cover.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -62,23 +62,23 @@ def _dealt(h1, h2, docs, at, known_docs, known_at, buckets: int) -> Iterator[pa.
     order = np.lexsort((at, docs, bucket))
     h1, h2, docs, at, bucket = h1[order], h2[order] if len(h2) else h2, docs[order], at[order], bucket[order]
     ends = np.searchsorted(bucket, np.arange(buckets + 1))
+    order = np.lexsort((known_at, known_docs))
+    known_docs, known_at = known_docs[order], known_at[order]
     cuts = np.linspace(0, len(known_docs), buckets + 1).astype(np.int64)
     rows: list[tuple] = []
     for k in range(buckets):
         i, j, p, q = ends[k], ends[k + 1], cuts[k], cuts[k + 1]
         if i < j or p < q:
-            rows.append((k, h1[i:j].tobytes(), h2[i:j].tobytes(), pack_ints(docs[i:j]), pack_ints(at[i:j]), pack_ints(known_docs[p:q]), pack_ints(known_at[p:q])))
+            rows.append((k, h1[i:j].tobytes(), h2[i:j].tobytes(), pack_sorted(docs[i:j]), pack_ints(at[i:j]), pack_sorted(known_docs[p:q]), pack_ints(known_at[p:q])))
     if rows:
         kinds = [pa.int32(), *[pa.binary()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=_NAMES)
 
 
-def _by_document(docs: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order]
-    ids, first = np.unique(docs, return_index=True)
-    parts = [pack_ints(x) for x in np.split(at, first[1:])] if len(ids) else []
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], names=["id_", "at"])
+def _runs(docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, sorted by document, as runs of consecutive ones: document, first position, number."""
+    begins = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.empty(0, np.int64)
+    return docs[begins], at[begins], np.diff(np.append(begins, len(at)))
 
 
 def _anchors(length: int, buckets: int) -> Callable:
@@ -128,9 +128,9 @@ def _buckets_read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _joined(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    ints = lambda k: np.concatenate([unpack_ints(r[k]) for r in rows])
+    ints = lambda k, f=unpack_ints: np.concatenate([f(r[k]) for r in rows])
     hashes = lambda k: np.frombuffer(b"".join(r[k] for r in rows), np.uint64)
-    return hashes("h1"), hashes("h2"), ints("docs"), ints("at"), ints("known_docs"), ints("known_at")
+    return hashes("h1"), hashes("h2"), ints("docs", unpack_sorted), ints("at"), ints("known_docs", unpack_sorted), ints("known_at")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,26 +139,31 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, _, docs, at, known_docs, known_at = _joined(rows)
         order, _, twice = _first_and_rest(h, np.zeros(len(h), np.uint64), docs, at)
         found = order[twice]
-        if len(found) + len(known_docs):
-            yield _by_document(np.concatenate([docs[found], known_docs]), np.concatenate([at[found], known_at]))
+        docs, at = np.concatenate([docs[found], known_docs]), np.concatenate([at[found], known_at])
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(at), pa.array(np.ones(len(at), np.int64))], names=["id_", "at", "n"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of windows to the documents' starts of those that have an earlier copy."""
+    """Buckets of windows to runs of the documents' starts of those that have an earlier copy."""
     for rows in _buckets_read(batches):
         h1, h2, docs, at, known_docs, known_at = _joined(rows)
         order, begins, _ = _first_and_rest(h1, h2, docs, at)
         found = order[~begins]
-        if len(found) + len(known_docs):
-            yield _by_document(np.concatenate([docs[found], known_docs]), np.concatenate([at[found], known_at]))
+        docs, at, n = (np.concatenate(x) for x in zip((docs[found], at[found], np.ones(len(found), np.int64)), _runs(known_docs, known_at), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(at), pa.array(n)], names=["id_", "at", "n"])
 
 
-def _own(packed: list[bytes] | None, part: int) -> np.ndarray:
-    """The positions of one row among those of its id."""
-    if not packed:
-        return np.empty(0, np.int64)
-    at = np.unique(np.concatenate([unpack_ints(x) for x in packed]))
-    return at[at >> PART == part] & ((1 << PART) - 1)
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The rows of a list column as arrays; a null is empty."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return (values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True))
+
+
+def _own(at: np.ndarray, n: np.ndarray, part: int) -> np.ndarray:
+    """The positions of one row, from runs of all rows of its id."""
+    mine = at >> PART == part
+    at, n = at[mine] & ((1 << PART) - 1), n[mine]
+    return np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else at
 
 
 def _windows(length: int, buckets: int) -> Callable:
@@ -174,8 +179,8 @@ def _windows(length: int, buckets: int) -> Callable:
         parts, n = [], 0
         back = np.arange(PERIOD)
         for b in slices(batches):
-            for doc, part, text, packed in zip(*(b.column(c).to_pylist() for c in ("id_", "part_", "text_", "found_")), strict=True):
-                at = _own(packed, part)
+            for doc, part, text, at, n_at in zip(*(b.column(c).to_pylist() for c in ("id_", "part_", "text_")), _lists(b.column("at_")), _lists(b.column("n_")), strict=True):
+                at = _own(at, n_at, part)
                 words = _words(text) if len(at) else []
                 if len(words) >= length:
                     marks = np.zeros(len(words), bool)
@@ -198,10 +203,10 @@ def _result(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n_words, n_removed, kept = [], [], []
-            for part, text, packed in zip(*(b.column(c).to_pylist() for c in ("part_", "text_", "found_")), strict=True):
+            for part, text, at, n in zip(*(b.column(c).to_pylist() for c in ("part_", "text_")), _lists(b.column("at_")), _lists(b.column("n_")), strict=True):
                 words = _words(text)
                 edges = np.zeros(len(words) + 1, np.int64)
-                starts = _own(packed, part)
+                starts = np.unique(_own(at, n, part))
                 edges[starts] += 1
                 edges[starts + length] -= 1
                 stays = np.cumsum(edges)[:-1] == 0
@@ -217,7 +222,7 @@ def _result(length: int) -> Callable:
     return run
 
 
-_OWN = {"id_", "part_", "text_", "found_"}
+_OWN = {"id_", "part_", "text_", "at_", "n_"}
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20) -> DataFrame:
@@ -229,16 +234,20 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError(f"windows need more than {PERIOD} words")
     spark = df.sparkSession
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = [c for c in df.columns if c not in {text_col, "n_words", "n_removed", "kept_text", *_OWN}]
-    rows = df.select(*rest, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id_"), F.col(text_col).alias("text_")).repartition("id_")
+    rest = [c for c in df.columns if c not in {id_col, text_col, "n_words", "n_removed", "kept_text", *_OWN}]
+    id_type = df.schema[id_col].dataType
+    # without further columns all three steps read the same columns, so Spark exchanges the texts once
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id_"), F.col(text_col).alias("text_"), *rest).repartition("id_")
     texts = rows.withColumn("part_", F.row_number().over(Window.partitionBy("id_").orderBy(F.xxhash64("text_"))).cast("long") - 1)
 
     def gathered(packed: DataFrame, f: Callable) -> DataFrame:
-        found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(f, "id_ long, at binary")
-        return found.groupBy("id_").agg(F.collect_list("at").alias("found_"))
-
-    anchors = texts.select("id_", "part_", "text_").mapInArrow(_anchors(length, buckets), _PACKED)
-    windows = texts.join(gathered(anchors, _repeated), "id_").select("id_", "part_", "text_", "found_").mapInArrow(_windows(length, buckets), _PACKED)
-    marked = texts.join(gathered(windows, _later), "id_", "left").select(*rest, "part_", "text_", "found_")
-    schema = df.select(*rest).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+        found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(f, "id_ long, at long, n long")
+        return found.groupBy("id_").agg(F.collect_list("at").alias("at_"), F.collect_list("n").alias("n_"))
+
+    own = ["id_", "part_", "text_"]
+    anchors = texts.select(own).mapInArrow(_anchors(length, buckets), _PACKED)
+    windows = texts.select(own).join(gathered(anchors, _repeated), "id_").select(*own, "at_", "n_").mapInArrow(_windows(length, buckets), _PACKED)
+    given = F.when(F.col("id_") != NULL_ID, F.col("id_")).cast(id_type).alias(id_col)
+    marked = texts.join(gathered(windows, _later), "id_", "left").select(given, *rest, "part_", "text_", "at_", "n_")
+    schema = marked.select(id_col, *rest).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return marked.mapInArrow(_result(length), schema)
