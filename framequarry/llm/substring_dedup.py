@@ -233,7 +233,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if length < PERIOD + 1:
         raise ValueError(f"windows need more than {PERIOD} words")
     spark = df.sparkSession
-    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in df.columns if c not in {id_col, text_col, "n_words", "n_removed", "kept_text", *_OWN}]
     id_type = df.schema[id_col].dataType
     # without further columns all three steps read the same columns, so Spark exchanges the texts once
