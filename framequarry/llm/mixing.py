@@ -6,7 +6,7 @@ never gets more than its leaves can give, a leaf's shortage goes to its siblings
 The share has a closed form: with children ordered by capacity per weight, the first k are full, and the others get the same amount per weight.
 
 A leaf with budget b and t tokens gives b div t whole epochs and, of the next one, the longest prefix that fits in the rest, in an order by a seeded hash. The prefix is found by
-sums over the hash's first 16 bits; only the one slice in which the prefix ends is sorted, so a leaf with a third of all rows is never gathered.
+sums over the hash's first 12 bits; only the one slice in which the prefix ends is sorted, so a leaf with a third of all rows is never gathered.
 All of it is built-in expressions; the tree holds one row per leaf, joined by Spark's choice of strategy.
 
 Defined cases: null domains, languages and sources are a leaf value of their own; rows with no tokens (null or empty texts) go with the first whole epoch or the prefix they fall in; null ids are hashed
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 LEVELS = ("domain", "lang", "source")
 #: Bits of the order hash that are summed before rows are sorted.
-SLICE_BITS = 16
+SLICE_BITS = 12
 
 
 def byte_tokens(text: Column) -> Column:
