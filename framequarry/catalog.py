@@ -1,21 +1,595 @@
-"""Queries of the frame operators and their SQL."""
+"""Queries of the frame operators over the driver's tables, and their SQL. Every query runs over its whole table and whole payloads."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framequarry.functions import bytes as fb
+from framequarry.functions import frames as fr
+from framequarry.functions import parameters as pm
+from framequarry.operators import codec, dictionary, gear, stats, tables
+from framequarry.plans.golden import GOLDEN, LEGACY_FRAMES
+from framequarry.streaming.chunks import compress_stream, decompress_stream
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def payloads(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, payload: the texts as UTF-8 bytes."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"), *more)
+
+
+def raw_frames(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return payloads(spark, sf_dir, *more).withColumn("frame", fr.raw_frame(F.col("payload")))
+
+
+_N = "strlen(coalesce(text, ''))"
+#: Bytes of a native raw frame: header (single segment below 256 KiB), blocks, content.
+_RAW = f"(5 + CASE WHEN {_N} < 262144 THEN CASE WHEN {_N} < 256 THEN 1 WHEN {_N} < 65792 THEN 2 ELSE 4 END ELSE 5 END + 3 * greatest(1, ceil({_N} / 131072.0)::BIGINT) + {_N})"
+
+
+@query(f"SELECT lang, count(*) AS n_docs, sum({_N})::BIGINT AS content_bytes, sum({_RAW})::BIGINT AS frame_bytes FROM documents GROUP BY lang")
 def frame_sizes_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    """Texts to frames and back to their headers, by language."""
+    docs = raw_frames(spark, sf_dir, "lang").withColumn("h", fr.frame_header(F.col("frame")))
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.col("h.content_size").cast("bigint")).alias("content_bytes"), F.sum(F.octet_length("frame").cast("bigint")).alias("frame_bytes"))
+
+
+# Projections
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, options: codec.CompressOptions, back: codec.DecompressOptions | None = None) -> DataFrame:
+    """Compressed frames are read back by the decoder; an error would show as a null text."""
+    made = payloads(spark, sf_dir).withColumn("frame", codec.compress("payload", options)["data"])
+    return made.select("doc_id", codec.decompress("frame", back)["data"].cast("string").alias("text"))
+
+
+_TEXT = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+@query(_TEXT)
+def roundtrip_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, codec.CompressOptions())
+
+
+@query(_TEXT)
+def roundtrip_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, codec.CompressOptions(checksum=True))
+
+
+@query(_TEXT)
+def roundtrip_long_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, codec.CompressOptions(ldm=True, window_log=24, content_size=False))
+
+
+LEVELS = (-5, 1, 3, 7, 12, 19)
+
+
+@query("SELECT level, count(*) AS n_docs, count(*) AS n_equal, 0::BIGINT AS n_errors FROM documents, (VALUES (-5), (1), (3), (7), (12), (19)) t(level) GROUP BY level")
+def roundtrip_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir, [(n, codec.CompressOptions(level=n)) for n in LEVELS], "level int")
+
+
+@query("SELECT strategy, count(*) AS n_docs, count(*) AS n_equal, 0::BIGINT AS n_errors FROM documents, (VALUES " + ", ".join(f"('{s}')" for s in pm.STRATEGIES) + ") t(strategy) GROUP BY strategy")
+def roundtrip_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir, [(s, codec.CompressOptions(strategy=s)) for s in pm.STRATEGIES], "strategy string")
+
+
+def _matrix(spark: SparkSession, sf_dir: str, cases: list[tuple], key: str) -> DataFrame:
+    name, kind = key.split()
+    out = None
+    for value, o in cases:
+        back = payloads(spark, sf_dir).withColumn("r", codec.decompress(codec.compress("payload", o)["data"]))
+        one = back.agg(
+            F.lit(value).cast(kind).alias(name), F.count("*").alias("n_docs"), F.count_if(F.col("r.data") == F.col("payload")).alias("n_equal"), F.count("r.error_name").alias("n_errors")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT lang, sum({_N})::BIGINT AS content_bytes, true AS smaller, true AS within_bound FROM documents GROUP BY lang")
+def compression_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed against plain bytes; no frame goes beyond its bound."""
+    made = payloads(spark, sf_dir, "lang").withColumn("frame", codec.compress("payload")["data"])
+    n, m = F.octet_length("payload").cast("bigint"), F.octet_length("frame").cast("bigint")
+    return made.groupBy("lang").agg(F.sum(n).alias("content_bytes"), (F.sum(m) < F.sum(n)).alias("smaller"), F.every(m <= fr.compress_bound(n) + 32).alias("within_bound"))
+
+
+_JOB = 4096
+
+
+@query(_TEXT)
+def parallel_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text as frames made in parallel and put together; decoding reads across them."""
+    made = codec.compress_jobs(payloads(spark, sf_dir), "doc_id", "payload", _JOB)
+    return made.select("doc_id", codec.decompress("frame")["data"].cast("string").alias("text"))
+
+
+@query("SELECT lang, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS text FROM documents GROUP BY lang")
+def concat_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a language, with skippable ones between, decode to the texts in order."""
+    made = payloads(spark, sf_dir, "lang").withColumn("frame", codec.compress("payload")["data"])
+    padded = made.withColumn("frame", F.concat("frame", fr.write_skippable_frame(F.encode(F.lit("pad"), "UTF-8"), F.col("doc_id") % 16)))
+    whole = codec.concat_frames(padded, "lang", "doc_id", "frame")
+    return whole.select("lang", codec.decompress("frame")["data"].cast("string").alias("text"))
+
+
+@query(f"SELECT doc_id, ({_N})::BIGINT AS n_bytes, true AS whole FROM documents")
+def decode_one_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly the first of two frames, and how many bytes it took."""
+    made = payloads(spark, sf_dir).withColumn("frame", codec.compress("payload")["data"])
+    r = codec.decompress_frame(F.concat("frame", "frame"))
+    return made.withColumn("r", r).select("doc_id", F.octet_length("r.data").cast("bigint").alias("n_bytes"), (F.col("r.consumed") == F.octet_length("frame")).alias("whole"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'DstSizeTooSmall' END AS compressing, CASE WHEN doc_id % 2 = 0 OR {_N} = 0 THEN 'ok' ELSE 'DstSizeTooSmall' END AS decoding FROM documents")
+def bounded_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Room of exactly the bound, and of one byte less."""
+    n = F.octet_length("payload").cast("bigint")
+    less = F.col("doc_id") % 2
+    docs = payloads(spark, sf_dir).withColumn("frame", codec.compress("payload")["data"])
+    docs = docs.withColumn("c", codec.compress_into(F.col("payload"), fr.compress_bound(n) - less)).withColumn("d", codec.decompress_into(F.col("frame"), F.greatest(n - less, F.lit(0))))
+    return docs.select("doc_id", F.coalesce("c.error_name", F.lit("ok")).alias("compressing"), F.coalesce("d.error_name", F.lit("ok")).alias("decoding"))
+
+
+# Predicates and headers
+
+
+@query(
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'zstd' WHEN 1 THEN 'skippable' WHEN 2 THEN 'legacy' ELSE 'unknown' END AS kind, doc_id % 4 <> 3 AS is_frame, "
+    "CASE WHEN doc_id % 4 = 2 THEN (doc_id // 4 % 7 + 1)::INTEGER END AS legacy_version FROM documents"
+)
+def frame_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legacy = F.element_at(F.array(*[F.unhex(F.lit(m)) for m in fr.LEGACY]), (F.floor(F.col("doc_id") / 4) % 7 + 1).cast("int"))
+    b = (
+        F.when(F.col("doc_id") % 4 == 0, F.col("frame"))
+        .when(F.col("doc_id") % 4 == 1, fr.write_skippable_frame(F.col("payload"), F.col("doc_id") % 16))
+        .when(F.col("doc_id") % 4 == 2, F.concat(legacy, "payload"))
+        .otherwise(F.substring("payload", 1, 3))
+    )
+    docs = raw_frames(spark, sf_dir).select("doc_id", b.alias("b"))
+    return docs.select("doc_id", fr.detect_frame(F.col("b")).alias("kind"), fr.is_frame(F.col("b")).alias("is_frame"), fr.legacy_version(F.col("b")).alias("legacy_version"))
+
+
+@query(
+    f"SELECT doc_id, {_N} < 262144 AS single_segment, {_N}::BIGINT AS content_size, CASE WHEN {_N} < 262144 THEN {_N} ELSE (1::BIGINT << floor(log2({_N}))::INTEGER) END::BIGINT AS window_size, "
+    f"({_RAW} - {_N} - 3 * greatest(1, ceil({_N} / 131072.0)))::BIGINT AS header_size, least({_N}, 131072)::BIGINT AS block_size_max FROM documents"
+)
+def raw_frame_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = fr.frame_header(F.col("frame"))
+    docs = raw_frames(spark, sf_dir).select("doc_id", h.alias("h"), fb.byte_at(F.col("frame"), 4).alias("flags"))
+    return docs.select(
+        "doc_id",
+        (F.col("flags").bitwiseAND(32) != 0).alias("single_segment"),
+        F.col("h.content_size").cast("bigint").alias("content_size"),
+        F.col("h.window_size").cast("bigint").alias("window_size"),
+        F.col("h.header_size").alias("header_size"),
+        F.col("h.block_size_max").alias("block_size_max"),
+    )
+
+
+@query(
+    "WITH c AS (SELECT doc_id, single, dict_id FROM documents, (VALUES (true), (false)) s(single), (VALUES (0), (200), (300), (70000)) d(dict_id)) "
+    "SELECT doc_id, single, dict_id::BIGINT AS dict_id, doc_id % 2 = 1 AS checksum, "
+    "(CASE WHEN single THEN doc_id * doc_id * 37 ELSE 1::BIGINT << (10 + doc_id % 15)::INTEGER END)::BIGINT AS window_size, (doc_id * doc_id * 37)::BIGINT AS content_size FROM c"
+)
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of all widths of sizes and ids, written and read back."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    cases = ids.select("doc_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("single")).select("*", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 200, 300, 70000)])).alias("dict_id"))
+    n, log = F.col("doc_id") * F.col("doc_id") * 37, (F.col("doc_id") % 15 + 10).cast("int")
+    head = fr.write_frame_header(n, F.pow(F.lit(2), log).cast("bigint"), F.col("dict_id"), F.col("doc_id") % 2 == 1, F.col("single"))
+    h = cases.withColumn("h", fr.frame_header(head))
+    return h.select(
+        "doc_id",
+        "single",
+        F.col("h.dict_id").alias("dict_id"),
+        F.col("h.checksum_flag").alias("checksum"),
+        F.col("h.window_size").cast("bigint").alias("window_size"),
+        F.col("h.content_size").cast("bigint").alias("content_size"),
+    )
+
+
+@query(f"SELECT doc_id, (doc_id % 16)::BIGINT AS variant, hex(encode(coalesce(text, ''))) AS payload, ({_N} + 8)::BIGINT AS total_size FROM documents")
+def skippable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = payloads(spark, sf_dir).withColumn("b", fr.write_skippable_frame(F.col("payload"), F.col("doc_id") % 16))
+    return docs.select(
+        "doc_id", fr.frame_header(F.col("b"))["dict_id"].alias("variant"), F.hex(fr.read_skippable_frame(F.col("b"))).alias("payload"), fr.skippable_frame_size(F.col("b")).alias("total_size")
+    )
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_N} <= 2048")
+def window_limit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames within a window, by their headers alone."""
+    return codec.guarded(raw_frames(spark, sf_dir), "frame", 2048).select("doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN doc_id % 3 = 1 THEN 'ok' ELSE 'DictionaryWrong' END AS outcome FROM documents")
+def dict_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames without an id, with the supplied dictionary's and with another."""
+    body = F.substring("payload", 1, 200)
+    head = fr.write_frame_header(F.octet_length(body), F.lit(1024), F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 77).otherwise(78), F.lit(False), F.lit(True))
+    frame = F.concat(head, fr.write_block_header(F.lit("raw"), F.lit(True), F.octet_length(body)), body)
+    docs = payloads(spark, sf_dir).select("doc_id", frame.alias("frame"))
+    r = codec.decompress("frame", codec.DecompressOptions(dictionary=b"some dictionary content", dict_id=77))
+    return docs.select("doc_id", F.coalesce(r["error_name"], F.lit("ok")).alias("outcome"))
+
+
+@query("SELECT doc_id, n, CASE WHEN n = 0 THEN false ELSE true END AS uniform FROM (SELECT doc_id, (doc_id % 50)::INTEGER AS n FROM documents)")
+def uniform_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("doc_id") % 50).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), stats.is_uniform(F.encode(F.repeat(F.lit("z"), n), "UTF-8")).alias("uniform"))
+
+
+# Table functions
+
+
+@query(
+    f"SELECT lang, doc_id, {_RAW}::BIGINT AS total_size, coalesce(sum({_RAW}) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at, "
+    "(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::INTEGER AS ord FROM documents"
+)
+def frame_iter_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a language in one buffer; their offsets are running sums of their sizes."""
+    made = raw_frames(spark, sf_dir, "lang")
+    whole = codec.concat_frames(made, "lang", "doc_id", "frame").join(made.groupBy("lang").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")), "lang")
+    found = tables.frames(whole, "frame")
+    return found.select("lang", F.get("ids", F.col("ord")).alias("doc_id"), "total_size", F.col("offset").alias("start_at"), "ord")
+
+
+_BIG = "strlen(repeat(coalesce(text, ''), 20))"
+
+
+@query(
+    f"SELECT doc_id, i::INTEGER AS ord, least(131072, n - i * 131072)::BIGINT AS size, i = k - 1 AS last FROM (SELECT doc_id, n, k, unnest(range(k)) AS i FROM "
+    f"(SELECT doc_id, {_BIG} AS n, greatest(1, ceil({_BIG} / 131072.0)::BIGINT) AS k FROM documents))"
+)
+def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 128 KiB of texts repeated twenty times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.repeat(F.coalesce("text", F.lit("")), F.lit(20)).cast("binary").alias("payload"))
+    return tables.blocks(docs.select("doc_id", fr.raw_frame(F.col("payload")).alias("frame")), "frame").select("doc_id", "ord", "size", "last")
+
+
+@query(f"SELECT doc_id, (2 * {_N})::BIGINT AS bound FROM documents")
+def decompress_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bound of two frames with a skippable one between."""
+    docs = raw_frames(spark, sf_dir).select("doc_id", F.concat("frame", fr.write_skippable_frame(F.col("payload"), F.lit(3)), "frame").alias("b"))
+    return tables.decompress_bound(docs, "b").select("doc_id", "bound")
+
+
+@query(f"SELECT doc_id, count(*) AS n_frames, sum({_RAW})::BIGINT AS total FROM documents GROUP BY doc_id")
+def lateral_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL table function."""
+    tables.register(spark)
+    raw_frames(spark, sf_dir).select("doc_id", "frame").createOrReplaceTempView("fq_raw_frames")
+    return spark.sql("SELECT doc_id, count(*) AS n_frames, sum(f.total_size) AS total FROM fq_raw_frames, LATERAL fq_frames(frame) f GROUP BY doc_id")
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'SrcSizeWrong' WHEN 2 THEN 'PrefixUnknown' WHEN 3 THEN 'ChecksumWrong' ELSE 'FrameParameterUnsupported' END AS error_name FROM documents")
+def corrupt_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole, cut-off, misnamed, damaged and reserved-bit frames by their errors."""
+    frame = F.col("frame")
+    n = F.octet_length(frame)
+    flags = fb.write_le(fb.byte_at(frame, 4).bitwiseOR(8), 1)
+    last = fb.write_le(fb.byte_at(frame, n - 1).bitwiseXOR(1), 1)
+    k = F.col("doc_id") % 5
+    b = (
+        F.when(k == 1, fb.part(frame, 0, n - 1))
+        .when(k == 2, F.concat(F.unhex(F.lit("29B52FFD")), fb.part(frame, 4, n - 4)))
+        .when(k == 3, F.concat(fb.part(frame, 0, n - 1), last))
+        .when(k == 4, F.concat(fb.part(frame, 0, 4), flags, fb.part(frame, 5, n - 5)))
+        .otherwise(frame)
+    )
+    docs = payloads(spark, sf_dir).withColumn("frame", codec.compress("payload", codec.CompressOptions(checksum=True))["data"]).select("doc_id", b.alias("b"))
+    return docs.select("doc_id", codec.decompress("b")["error_name"].alias("error_name"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def checksum_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame's last four bytes against XXH64 of its content."""
+    docs = payloads(spark, sf_dir).withColumn("frame", codec.compress("payload", codec.CompressOptions(checksum=True))["data"])
+    tail = fb.read_le(F.col("frame"), F.octet_length("frame") - 4, 4)
+    return docs.select("doc_id", (codec.checksum("payload") == tail).alias("same"))
+
 
+@query("SELECT name, expect_ok AS ok, expect_len AS n_bytes FROM (VALUES " + ", ".join(f"('{n}', {str(k is not None).lower()}, {'NULL' if k is None else k}::BIGINT)" for n, _, k in GOLDEN) + ") t(name, expect_ok, expect_len)")
+def golden_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known frames decode to known lengths; malformed ones are refused."""
+    rows = spark.createDataFrame([(n, bytearray.fromhex(h)) for n, h, _ in GOLDEN], "name string, frame binary").withColumn("r", codec.decompress("frame"))
+    return rows.select("name", F.col("r.error_name").isNull().alias("ok"), F.octet_length("r.data").cast("bigint").alias("n_bytes"))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"frame_sizes_by_language": frame_sizes_by_language}
+
+@query("SELECT version, n_bytes FROM (VALUES " + ", ".join(f"({v}, {len(h) // 2}::BIGINT)" for v, h in LEGACY_FRAMES.items()) + ") t(version, n_bytes)")
+def legacy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Historic frames are told apart by their first bytes."""
+    rows = spark.createDataFrame([(bytearray.fromhex(h),) for h in LEGACY_FRAMES.values()], "frame binary")
+    return rows.select(fr.legacy_version(F.col("frame")).alias("version"), F.octet_length("frame").cast("bigint").alias("n_bytes"))
+
+
+# Parameters
+
+
+@query(f"SELECT doc_id, ({_N} + ({_N} >> 8) + CASE WHEN {_N} < 131072 THEN (131072 - {_N}) >> 11 ELSE 0 END)::BIGINT AS bound FROM documents")
+def compress_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads(spark, sf_dir).select("doc_id", fr.compress_bound(F.octet_length("payload")).alias("bound"))
+
+
+def _level_sql() -> str:
+    rows = ", ".join(str(r) for r in pm.level_table())
+    return f"""
+WITH p(size_class, row, w, c, h, s, m, t, g) AS (VALUES {rows}),
+k AS (SELECT doc_id, {_N}::BIGINT AS n, level FROM documents, (VALUES (-7), (0), (1), (3), (9), (15), (22), (40)) v(level)),
+j AS (SELECT *, CASE WHEN n <= 16384 THEN 3 WHEN n <= 131072 THEN 2 WHEN n <= 262144 THEN 1 ELSE 0 END AS sc, CASE WHEN level = 0 THEN 3 WHEN level < 0 THEN 0 ELSE least(level, 22) END AS r FROM k)
+SELECT doc_id, level, CASE WHEN n > 0 THEN least(w, greatest(10, CASE WHEN n <= 1 THEN 0 ELSE length(bin(n - 1)) END)) ELSE w END::INTEGER AS window_log, c AS chain_log, h AS hash_log, s AS search_log,
+  m AS min_match, CASE WHEN level < 0 THEN -level ELSE t END AS target_length, ({list(pm.STRATEGIES)})[g] AS strategy
+FROM j JOIN p ON size_class = sc AND row = r"""
+
+
+@query(_level_sql())
+def level_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = payloads(spark, sf_dir).select("doc_id", F.octet_length("payload").cast("bigint").alias("n"), F.explode(F.array(*[F.lit(x) for x in (-7, 0, 1, 3, 9, 15, 22, 40)])).alias("level"))
+    out = pm.with_level_parameters(docs, "level", "n")
+    return out.select("doc_id", "level", F.col("window_log").cast("int").alias("window_log"), "chain_log", "hash_log", "search_log", "min_match", "target_length", "strategy")
+
+
+@query(
+    "SELECT level, CASE WHEN level <= 1 THEN 'fast' WHEN level <= 3 THEN 'dfast' WHEN level <= 5 THEN 'greedy' WHEN level <= 7 THEN 'lazy' WHEN level <= 9 THEN 'lazy2' WHEN level <= 12 THEN 'btlazy2' "
+    "WHEN level <= 15 THEN 'btopt' WHEN level <= 18 THEN 'btultra' ELSE 'btultra2' END AS strategy FROM range(-5, 23) t(level)"
+)
+def strategy_from_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(-5, 23).select(F.col("id").alias("level"), pm.strategy_from_level(F.col("id")).alias("strategy"))
+
+
+_PLAN_CASES = "(VALUES (0), (11), (20), (27)) w(window_log), (VALUES (false), (true)) l(ldm)"
+
+
+@query(
+    f"WITH a AS (SELECT doc_id, {_N}::BIGINT AS n, window_log, ldm, CASE WHEN window_log > 0 THEN 1::BIGINT << window_log ELSE greatest({_N}, 1024) END::BIGINT AS declared FROM documents, {_PLAN_CASES}), "
+    "b AS (SELECT *, declared >= n AND n < 262144 AS single FROM a), c AS (SELECT *, CASE WHEN single THEN greatest(declared, 1024) WHEN ldm THEN greatest(declared, 1048576) ELSE declared END AS win FROM b) "
+    "SELECT doc_id, window_log, ldm, single AS single_segment, win::BIGINT AS window_size, least(1::BIGINT << (length(bin(win)) - 1)::INTEGER, 67108864)::BIGINT AS history_limit FROM c"
+)
+def frame_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = payloads(spark, sf_dir).select("doc_id", F.octet_length("payload").alias("n"), F.explode(F.array(*[F.lit(x) for x in (0, 11, 20, 27)])).alias("window_log"))
+    docs = docs.withColumn("ldm", F.explode(F.array(F.lit(False), F.lit(True))))
+    p = pm.plan_frame(F.col("n"), F.col("window_log"), F.col("ldm"), F.lit(0))
+    return docs.withColumn("p", p).select("doc_id", "window_log", "ldm", "p.single_segment", "p.window_size", "p.history_limit")
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey AS k, (o_orderkey * 7919 % 50000000)::BIGINT AS n, threads FROM orders, (VALUES (1), (4), (16)) t(threads)), "
+    "b AS (SELECT *, least(CASE WHEN n = 0 THEN 1 ELSE (n + 524287) // 524288 END, threads * 2) AS j0, least(1::BIGINT << (length(bin(greatest(n, 1024))) - 1)::INTEGER, 67108864) AS hist FROM a), "
+    "c AS (SELECT *, CASE WHEN j0 > 1 THEN hist // 8 ELSE 0 END AS ov, CASE WHEN j0 <= 1 THEN n ELSE (n + j0 - 1) // j0 END AS s0 FROM b), "
+    "d AS (SELECT *, CASE WHEN j0 > 1 AND s0 < ov THEN (n + ov - 1) // ov ELSE j0 END AS j, greatest(s0, ov) AS s FROM c) "
+    "SELECT k, threads, j::BIGINT AS num_jobs, s::BIGINT AS job_size, ov::BIGINT AS overlap FROM d"
+)
+def job_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 % 50000000).alias("n"), F.explode(F.array(F.lit(1), F.lit(4), F.lit(16))).alias("threads"))
+    plan = pm.plan_frame(F.col("n"), F.lit(0), F.lit(False), F.lit(0))
+    s = docs.withColumn("plan", plan).withColumn("s", pm.compute_split(F.col("n"), F.col("threads"), F.lit("fast"), F.col("plan"), F.lit(False), F.lit(False)))
+    return s.select("k", "threads", "s.num_jobs", "s.job_size", "s.overlap")
+
+
+@query(
+    "WITH a AS (SELECT w, g, h, CASE WHEN h > 0 THEN greatest(w - h, 0) ELSE 7 - g // 3 END AS r FROM range(10, 32) x(w), range(1, 10) y(g), (VALUES (0), (17), (25)) z(h)), "
+    "b AS (SELECT *, CASE WHEN w <= r THEN 6 ELSE greatest(6, least(30, w - r)) END AS t FROM a) "
+    "SELECT w AS window_log, g AS strategy, h AS hash_in, greatest(r, 1)::INTEGER AS hash_rate_log, t::INTEGER AS hash_log, CASE WHEN g >= 8 THEN 32 ELSE 64 END AS min_match, "
+    "least(greatest(4, least(8, g)), t)::INTEGER AS bucket_size_log, (8 * (1::BIGINT << t::INTEGER) + (1::BIGINT << (t - least(greatest(4, least(8, g)), t))::INTEGER))::BIGINT AS table_size FROM b"
+)
+def ldm_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.range(10, 32).select(F.col("id").alias("window_log"), F.explode(F.sequence(F.expr("1L"), F.expr("9L"))).alias("strategy"))
+    cases = cases.withColumn("hash_in", F.explode(F.array(F.lit(0), F.lit(17), F.lit(25))))
+    out = cases.withColumn("s", pm.adjust_ldm(F.col("window_log"), F.col("strategy"), F.col("hash_in")))
+    return out.select("window_log", "strategy", "hash_in", "s.*", pm.ldm_table_size(F.col("s.hash_log"), F.col("s.bucket_size_log")).alias("table_size"))
+
+
+def _codes_sql() -> str:
+    base = lambda name, bases: f"{name}(code, base) AS (VALUES {', '.join(f'({i}, {b})' for i, b in enumerate(bases))})"
+    return f"""WITH {base("ll", pm.LL_BASE)}, {base("ml", pm.ML_BASE)}, d AS (SELECT doc_id, {_N}::BIGINT AS n FROM documents)
+SELECT doc_id, (SELECT max(code) FROM ll WHERE base <= n)::INTEGER AS ll_code, (SELECT max(code) FROM ml WHERE base <= n + 3)::INTEGER AS ml_code,
+  CASE WHEN n >= 4 THEN length(bin(n + 3)) - 1 END::INTEGER AS offset_code FROM d"""
+
+
+@query(_codes_sql())
+def length_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.octet_length("payload").cast("bigint")
+    return payloads(spark, sf_dir).select("doc_id", pm.literal_length_code(n).alias("ll_code"), pm.match_length_code(n + 3).alias("ml_code"), pm.offset_code(n).alias("offset_code"))
+
+
+@query(
+    "SELECT event_id, length(bin(event_id + 1)) - 1 AS high_bit, 31 - (length(bin(event_id + 1)) - 1) AS leading_zeros, bit_count(((event_id + 1) & -(event_id + 1)) - 1)::INTEGER AS trailing_zeros, "
+    "(((((event_id * 2654435761) & 4294967295) << 13) | (((event_id * 2654435761) & 4294967295) >> 19)) & 4294967295)::BIGINT AS rotated FROM events"
+)
+def bit_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("event_id") + 1
+    return table(spark, sf_dir, "events").select(
+        "event_id", fb.high_bit(x).alias("high_bit"), fb.leading_zeros32(x).alias("leading_zeros"), fb.trailing_zeros(x).alias("trailing_zeros"), fb.rotate_left32(F.col("event_id") * 2654435761, 13).alias("rotated")
+    )
+
+
+# Statistics
+
+_BYTES = "SELECT lang, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS symbol FROM (SELECT lang, h, unnest(range(length(h) // 2)) AS i FROM (SELECT lang, hex(encode(coalesce(text, ''))) AS h FROM documents))"
+
+
+def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.byte_histogram(payloads(spark, sf_dir, "lang"), "payload", ["lang"])
+
+
+@query(f"SELECT lang, symbol, count(*) AS n FROM ({_BYTES}) GROUP BY lang, symbol")
+def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _histogram(spark, sf_dir)
+
+
+@query(
+    f"SELECT lang, count(*) AS cardinality, max(n)::BIGINT AS largest, sum(n)::BIGINT AS total, max(symbol) AS max_symbol, round(sum(-n / t * log2(n / t)), 6) AS entropy "
+    f"FROM (SELECT *, sum(n) OVER (PARTITION BY lang)::DOUBLE AS t FROM (SELECT lang, symbol, count(*)::DOUBLE AS n FROM ({_BYTES}) GROUP BY lang, symbol)) GROUP BY lang"
+)
+def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram_facts(_histogram(spark, sf_dir), ["lang"]).withColumn("entropy", F.round("entropy", 6))
+
+
+@query("SELECT lang, 2048::BIGINT AS table_size, true AS none_lost FROM documents GROUP BY lang HAVING sum(strlen(coalesce(text, ''))) > 0")
+def normalized_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.normalized_counts(_histogram(spark, sf_dir), ["lang"], 11)
+    return out.groupBy("lang").agg(F.sum("value").alias("table_size"), F.every(F.col("value") > 0).alias("none_lost"))
+
+
+@query("SELECT lang, 2048::BIGINT AS kraft, true AS in_depth, true AS near_entropy FROM documents GROUP BY lang HAVING sum(strlen(coalesce(text, ''))) > 0")
+def huffman_kraft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths that use the whole code space, within a bit a byte of the entropy."""
+    histogram = _histogram(spark, sf_dir)
+    lengths = stats.huffman_lengths(histogram, ["lang"])
+    out = stats.payload_bytes(lengths, ["lang"]).join(stats.histogram_facts(histogram, ["lang"]), "lang").join(lengths.groupBy("lang").agg(F.max("value").alias("deepest")), "lang")
+    bits = F.col("payload_bytes") * 8 / F.col("total")
+    return out.select("lang", "kraft", (F.col("deepest") <= stats.CODE_DEPTH).alias("in_depth"), ((bits >= F.col("entropy") - 1e-9) & (bits < F.col("entropy") + 1)).alias("near_entropy"))
+
+
+@query(f"SELECT lang, symbol, floor(4 * log2(sum(n) OVER (PARTITION BY lang)::DOUBLE / n) + 1e-9)::BIGINT AS price FROM (SELECT lang, symbol, count(*) AS n FROM ({_BYTES}) GROUP BY lang, symbol)")
+def symbol_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.symbol_prices(_histogram(spark, sf_dir), ["lang"]).select("lang", "symbol", "price")
+
+
+# Dictionaries: samples are the benchmark's texts
+
+K, D, SIZE = 6, 32, 4096
+_SAMPLES = "SELECT item_id AS sample, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM benchmark"
+
+
+def _cover_sql(chunks: str, step: int) -> str:
+    return f"""
+WITH s AS ({_SAMPLES}), c AS ({chunks}),
+heads AS (SELECT c.*, substr(h, 2 * start + 1, {2 * K}) AS gram FROM c JOIN s USING (sample)),
+grams AS (SELECT sample, substr(h, 2 * p + 1, {2 * K}) AS gram FROM (SELECT sample, h, unnest(range(0, n - {K} + 1, {step})) AS p FROM s WHERE n >= {K})),
+own AS (SELECT sample, gram, count(*) AS k FROM grams GROUP BY ALL), every AS (SELECT gram, sum(k) AS k FROM own GROUP BY gram),
+scored AS (SELECT h.sample, start, len, CASE WHEN len < {K} THEN 0 ELSE coalesce(e.k, 0) - coalesce(o.k, 0) END::BIGINT AS score FROM heads h LEFT JOIN every e USING (gram) LEFT JOIN own o ON o.gram = h.gram AND o.sample = h.sample),
+placed AS (SELECT *, coalesce(sum(len) OVER (ORDER BY score DESC, sample, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "at" FROM scored)
+SELECT sample, start::INTEGER AS start, len::INTEGER AS len, score, "at"::BIGINT AS "at", least(len, {SIZE} - "at")::BIGINT AS taken FROM placed WHERE "at" < {SIZE}"""
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+
+
+def _selection(df: DataFrame) -> DataFrame:
+    return df.select("sample", F.col("start").cast("int").alias("start"), F.col("len").cast("int").alias("len"), "score", F.col("at").cast("bigint").alias("at"), F.col("taken").cast("bigint").alias("taken"))
+
+
+@query(
+    _cover_sql(
+        f"SELECT sample, start, least({D}, n - start) AS len FROM (SELECT sample, n, unnest(range(0, n, {D})) AS start FROM s) WHERE least({D}, n - start) >= 8",
+        1,
+    )
+)
+def dict_train_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(dictionary.cover_selection(_samples(spark, sf_dir), "item_id", "body", K, D, SIZE))
+
+
+@query(_cover_sql(f"SELECT sample, start, {D} AS len FROM (SELECT sample, n, unnest(range(0, n - {D} + 1, {2 * D})) AS start FROM s WHERE n >= {D})", 5))
+def dict_train_fastcover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selection(dictionary.fast_cover_selection(_samples(spark, sf_dir), "item_id", "body", K, D, 20, 2, SIZE))
+
+
+@query(
+    f'SELECT sample, n::INTEGER AS len, "at"::BIGINT AS "at", least(n, {SIZE} - "at")::BIGINT AS taken FROM (SELECT sample, n, coalesce(sum(n) OVER (ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "at" '
+    f'FROM ({_SAMPLES}) WHERE n > 0) WHERE "at" < {SIZE}'
+)
+def dict_train_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dictionary.naive_selection(_samples(spark, sf_dir), "item_id", "body", SIZE)
+    return out.select("sample", "len", F.col("at").cast("bigint").alias("at"), F.col("taken").cast("bigint").alias("taken"))
+
+
+@query(_TEXT)
+def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts compressed with a trained dictionary of a few KiB, which travels with the options."""
+    samples = _samples(spark, sf_dir)
+    d = dictionary.build(samples, dictionary.cover_selection(samples, "item_id", "body", K, D, SIZE), "item_id", "body", 7)
+    return _round_trip(spark, sf_dir, codec.CompressOptions(dictionary=d), codec.DecompressOptions(dictionary=d, dict_id=7, require_dictionary=True))
+
+
+@query("SELECT doc_id, (doc_id * 3)::BIGINT AS dict_id, hex(encode(coalesce(text, ''))) AS content FROM documents")
+def dict_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = payloads(spark, sf_dir).withColumn("b", dictionary.container(F.col("payload"), F.col("doc_id") * 3))
+    return docs.select("doc_id", dictionary.container_id(F.col("b")).cast("bigint").alias("dict_id"), F.hex(dictionary.container_content(F.col("b"))).alias("content"))
+
+
+# Content-defined chunks
+
+
+@query(f"SELECT doc_id, {_N}::BIGINT AS n_bytes, true AS gapless FROM documents WHERE {_N} > 0")
+def gear_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks cover every byte once."""
+    chunks = gear.splits(payloads(spark, sf_dir), "payload")
+    out = chunks.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.max("end").alias("top"), F.min("start").alias("low"))
+    return out.select("doc_id", "n_bytes", ((F.col("top") == F.col("n_bytes")) & (F.col("low") == 0)).alias("gapless"))
+
+
+@query()
+def gear_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long chunks that occur earlier in the corpus."""
+    return gear.repeated_chunks(gear.splits(payloads(spark, sf_dir), "payload"), "doc_id").select("doc_id", "start", "end", "first_id", "first_start")
+
+
+# Streams
+
+
+def _folder(spark: SparkSession) -> str:
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if there is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{there or tempfile.mkdtemp()}/stream-{uuid4().hex}"
+
+
+def _available(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what is there, into Parquet."""
+    out = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(_TEXT)
+def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as streams of small chunks, compressed by one stateful stream and decoded by another."""
+    folder = _folder(spark)
+    size = 1000
+    source = table(spark, sf_dir, "documents")
+    docs = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may name a file or a folder
+    payload = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / size)).cast("int")
+    chunks = docs.select(F.col("doc_id").cast("string").alias("stream_id"), payload.alias("payload"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    chunks = chunks.select("stream_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), fb.part(F.col("payload"), F.col("chunk_no") * size, size).alias("chunk"), (F.col("chunk_no") == F.col("n") - 1).alias("is_last"))
+    made = _available(compress_stream(chunks), f"{folder}/c")
+    again = spark.readStream.schema(made.schema).parquet(f"{folder}/c/out").select("stream_id", F.col("seq").alias("chunk_no"), F.col("data").alias("chunk"), F.col("done").alias("is_last"))
+    back = _available(decompress_stream(again), f"{folder}/d")
+    whole = codec.concat_frames(back.where("error_name IS NULL"), "stream_id", "seq", "data")
+    return whole.select(F.col("stream_id").cast("bigint").alias("doc_id"), F.col("data").cast("string").alias("text"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"frame_sizes_by_language": "SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang"}
+    return dict(_SQL)
+
+
+__all__ = ["Column", "queries", "oracle_sql"]
