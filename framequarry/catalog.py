@@ -231,7 +231,7 @@ def dict_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.substring("payload", 1, 200)
     head = fr.write_frame_header(F.octet_length(body), F.lit(1024), F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 77).otherwise(78), F.lit(False), F.lit(True))
     frame = F.concat(head, fr.write_block_header(F.lit("raw"), F.lit(True), F.octet_length(body)), body)
-    docs = payloads(spark, sf_dir).select("doc_id", frame.alias("frame"))
+    docs = fb.materialized(payloads(spark, sf_dir).select("doc_id", frame.alias("frame")), "frame")
     r = codec.decompress("frame", codec.DecompressOptions(dictionary=b"some dictionary content", dict_id=77))
     return docs.select("doc_id", F.coalesce(r["error_name"], F.lit("ok")).alias("outcome"))
 

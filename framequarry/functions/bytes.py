@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df with a column as a row value of its own. Spark can't hand an expression with lambda variables to a Python function, and would copy it there."""
+    return df.withColumn(name, F.explode(F.array(name)))
+
+
 def part(b: Column, offset: Column | int, n: Column | int) -> Column:
     """n bytes from a 0-based offset; fewer if the buffer ends."""
     return F.substring(b, _col(offset).cast("int") + 1, _col(n).cast("int"))

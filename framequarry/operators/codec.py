@@ -1,6 +1,7 @@
 """Compression and decompression of binary columns. Errors are data: a broken row has a null result and an error name, and never fails its task.
 
-Each Python worker keeps one codec object per set of options. Rows are worked on in Arrow batches; nothing is shuffled.
+Each Python worker keeps one codec object per set of options. Rows are worked on in Arrow batches; nothing is shuffled. A column made by the header functions is given to
+these by functions.bytes.materialized.
 """
 
 from __future__ import annotations
