@@ -319,6 +319,19 @@ def golden_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", F.col("r.error_name").isNull().alias("ok"), F.octet_length("r.data").cast("bigint").alias("n_bytes"))
 
 
+@query(_TEXT)
+def plain_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoder in Python reads what the library wrote."""
+    return _round_trip(spark, sf_dir, codec.CompressOptions(level=6, checksum=True), codec.DecompressOptions(plain=True))
+
+
+@query("SELECT version, CASE WHEN version > 5 THEN 239 END::BIGINT AS n_bytes, CASE WHEN version > 5 THEN NULL ELSE 'VersionUnsupported' END AS error_name FROM range(1, 8) t(version)")
+def legacy_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Historic frames: 0.6 and 0.7 decode, the others are refused by name."""
+    rows = spark.createDataFrame([(v, bytearray.fromhex(h)) for v, h in LEGACY_FRAMES.items()], "version bigint, frame binary").withColumn("r", codec.decompress("frame"))
+    return rows.select("version", F.octet_length("r.data").cast("bigint").alias("n_bytes"), F.col("r.error_name").alias("error_name"))
+
+
 @query("SELECT version, n_bytes FROM (VALUES " + ", ".join(f"({v}, {len(h) // 2}::BIGINT)" for v, h in LEGACY_FRAMES.items()) + ") t(version, n_bytes)")
 def legacy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historic frames are told apart by their first bytes."""

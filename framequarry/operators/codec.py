@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from framequarry.functions.frames import CONTENT_ERROR, compress_bound, frame_header
 from framequarry.functions.parameters import STRATEGIES
+from framequarry.operators.decoder import decode_legacy, decode_regular
 from framequarry.operators.walk import FrameError, frame_end, legacy_of, read_blocks, read_header
 
 RESULT = "struct<data:binary,error_name:string>"
@@ -77,11 +78,14 @@ class CompressOptions:
 
 @dataclass(frozen=True)
 class DecompressOptions:
+    """plain: decode in Python instead of by the library, which is far slower."""
+
     max_window: int = 1 << 27
     ignore_checksum: bool = False
     dictionary: bytes | None = None
     dict_id: int = 0
     require_dictionary: bool = False
+    plain: bool = False
 
 
 _CODECS: dict = {}
@@ -133,6 +137,9 @@ def decode_frame(frame: bytes, o: DecompressOptions) -> bytes:
         raise FrameError("WindowTooLarge")
     if h.dict_id and o.dictionary and h.dict_id != o.dict_id:
         raise FrameError("DictionaryWrong")
+    if o.plain:
+        content = o.dictionary or b""
+        return decode_regular(_without_checksum(frame) if o.ignore_checksum else frame, content[8:] if content[:4] == b"\x37\xa4\x30\xec" else content)
     body = _without_checksum(frame)
     if h.dict_id:  # raw content has no id to compare with
         at = 5 + (0 if frame[4] & 32 else 1)
@@ -176,7 +183,9 @@ def decode_all(b: bytes, o: DecompressOptions) -> bytes:
         if at + 4 > len(b):
             raise FrameError("SrcSizeWrong")
         if legacy_of(b, at):
-            raise FrameError("VersionUnsupported")
+            data, at = decode_legacy(b, at)
+            out.append(data)
+            continue
         h, end = frame_end(b, at)
         if h.kind == "regular":
             out.append(decode_frame(b[at:end], o))
