@@ -2,7 +2,7 @@
 
 1. Every text sends one row for each distinct line key of enough characters: the key's 128-bit hash, the document and the line's first position.
 2. The rows are range-partitioned by (hash, document descending, position) and sorted, so a key that a third of all documents hold spreads over many partitions.
-   The partitions are checkpointed, as they are read twice.
+   Rows and partitions are checkpointed, as both are read twice.
 3. Each partition reports its first and last key with the number of documents it saw (at most `min_docs`): a few values per partition, which the driver turns into
    what every partition needs to know of its neighbours.
 4. Each partition streams its rows. The first document of a key, the largest id, keeps its lines; once `min_docs` documents have been seen, all others lose them.
@@ -240,6 +240,7 @@ def _marked(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs:
     """df with its text as text_, and n_lines, n_dropped and keep_bitmap."""
     id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     rows = df.select(id_.alias("id_"), F.col(text_col).alias("text_")).mapInArrow(_keys(min_chars), "h1 long, h2 long, id_ long, line long")
+    rows = checkpointed(rows)  # range partitioning reads them twice, first for a sample
     order = ("h1", "h2", F.desc("id_"), "line")
     ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     ends = ranged.mapInArrow(_ends(min_docs), _END_SCHEMA).collect()  # one short row per partition
