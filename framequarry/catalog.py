@@ -228,10 +228,12 @@ def window_limit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN doc_id % 3 = 1 THEN 'ok' ELSE 'DictionaryWrong' END AS outcome FROM documents")
 def dict_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames without an id, with the supplied dictionary's and with another."""
-    body = F.substring("payload", 1, 200)
-    head = fr.write_frame_header(F.octet_length(body), F.lit(1024), F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 77).otherwise(78), F.lit(False), F.lit(True))
-    frame = F.concat(head, fr.write_block_header(F.lit("raw"), F.lit(True), F.octet_length(body)), body)
-    docs = fb.materialized(payloads(spark, sf_dir).select("doc_id", frame.alias("frame")), "frame")
+    n = F.octet_length("payload").cast("bigint")
+    dict_id = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 77).otherwise(78)
+    head = fr.write_frame_header(n, F.greatest(n, F.lit(1024)), dict_id, F.lit(False), n < 256 * 1024)
+    docs = raw_frames(spark, sf_dir).withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
+    frame = F.concat(head, fb.part(F.col("frame"), F.col("size"), F.octet_length("frame")))
+    docs = fb.materialized(docs.select("doc_id", frame.alias("frame")), "frame")
     r = codec.decompress("frame", codec.DecompressOptions(dictionary=b"some dictionary content", dict_id=77))
     return docs.select("doc_id", F.coalesce(r["error_name"], F.lit("ok")).alias("outcome"))
 
