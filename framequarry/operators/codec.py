@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from framequarry.functions.frames import CONTENT_ERROR, compress_bound, frame_header
 from framequarry.functions.parameters import STRATEGIES
-from framequarry.operators.decoder import decode_legacy, decode_regular
+from framequarry.operators.decoder import decode_regular
+from framequarry.operators.historic import decode_legacy
 from framequarry.operators.walk import FrameError, frame_end, legacy_of, read_blocks, read_header
 
 RESULT = "struct<data:binary,error_name:string>"

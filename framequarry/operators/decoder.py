@@ -1,18 +1,19 @@
-"""A decoder in plain Python: RFC 8878 frames, and the historic versions 0.6 and 0.7.
+"""A decoder in plain Python: RFC 8878 frames, and the blocks of the historic versions 0.6 and 0.7.
 
-It is the second opinion that tests hold the codec library against, and the only decoder for the historic frames. Versions 0.6 and 0.7 share the entropy coding with the
-present format and differ in headers, mode numbers and repeat offsets.
+It is the second opinion that tests hold the codec library against. Versions 0.6 and 0.7 share the entropy coding with the present format and differ in mode numbers and
+repeat offsets; their frames, and all that is older, are in operators.historic.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import xxhash
 
 from framequarry.functions.frames import BLOCK_MAX
 from framequarry.functions.parameters import LL_BASE, ML_BASE
-from framequarry.operators.walk import FrameError, legacy_of, read_blocks, read_header
+from framequarry.operators.walk import FrameError, read_blocks, read_header
 
 # Extra bits and default distributions of the three codes.
 LL_BITS = (0,) * 16 + (1, 1, 1, 1, 2, 2, 3, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16)
@@ -126,7 +127,7 @@ def _weights(b: bytes) -> list[int]:
     raise FrameError("Corruption")
 
 
-def read_tree(b: bytes, old: bool = False) -> tuple[list[tuple[int, int]], int, int]:
+def read_tree(b: bytes, old: bool = False, coded: Callable[[bytes], list[int]] = _weights) -> tuple[list[tuple[int, int]], int, int]:
     """A prefix code as (symbol, bits) for each value of its longest code, that length, and the bytes it took."""
     if not b:
         raise FrameError("SrcSizeWrong")
@@ -139,7 +140,7 @@ def read_tree(b: bytes, old: bool = False) -> tuple[list[tuple[int, int]], int,
         weights = [b[1 + i // 2] >> (0 if i & 1 else 4) & 15 for i in range(n)] if used <= len(b) else []
     else:
         used = 1 + head
-        weights = _weights(b[1:used]) if head and used <= len(b) else []
+        weights = coded(b[1:used]) if head and used <= len(b) else []
     total = sum(1 << w >> 1 for w in weights)
     if not total:
         raise FrameError("Corruption")
@@ -156,7 +157,7 @@ def read_tree(b: bytes, old: bool = False) -> tuple[list[tuple[int, int]], int,
     return table, depth, used
 
 
-def _stream(b: bytes, tree, n: int) -> bytes:
+def read_stream(b: bytes, tree, n: int) -> bytes:
     table, depth, _ = tree
     bits, out = Bits(b), bytearray()
     while len(out) < n:
@@ -168,9 +169,9 @@ def _stream(b: bytes, tree, n: int) -> bytes:
     return bytes(out)
 
 
-def _streams(b: bytes, tree, n: int, single: bool) -> bytes:
+def read_streams(b: bytes, tree, n: int, single: bool) -> bytes:
     if single:
-        return _stream(b, tree, n)
+        return read_stream(b, tree, n)
     ends = [6]
     for i in range(3):
         ends.append(ends[-1] + int.from_bytes(b[2 * i : 2 * i + 2], "little"))
@@ -178,7 +179,7 @@ def _streams(b: bytes, tree, n: int, single: bool) -> bytes:
     if ends[3] >= len(b) or 3 * part > n:
         raise FrameError("Corruption")
     sizes = (part, part, part, n - 3 * part)
-    return b"".join(_stream(b[i:j], tree, k) for i, j, k in zip(ends, [*ends[1:], len(b)], sizes, strict=True))
+    return b"".join(read_stream(b[i:j], tree, k) for i, j, k in zip(ends, [*ends[1:], len(b)], sizes, strict=True))
 
 
 @dataclass
@@ -193,7 +194,7 @@ class State:
     window: int = 1 << 31
 
 
-def _plain_literals(b: bytes, at: int, n: int, run: bool) -> tuple[bytes, int]:
+def plain_literals(b: bytes, at: int, n: int, run: bool) -> tuple[bytes, int]:
     end = at + (1 if run else n)
     if end > len(b):
         raise FrameError("SrcSizeWrong")
@@ -207,7 +208,7 @@ def _literals(b: bytes, s: State) -> tuple[bytes, int]:
         if kind >= 2:
             size = {2: 2, 3: 3}.get(form, 1)
             n = int.from_bytes(bytes([head & (31 if size == 1 else 15)]) + b[1:size], "big")
-            return _plain_literals(b, size, n, kind == 3)
+            return plain_literals(b, size, n, kind == 3)
         if kind == 1 and form != 1:
             raise FrameError("Corruption")
         size, width = (3, 10) if form < 2 else (4, 14) if form == 2 else (5, 18)
@@ -219,7 +220,7 @@ def _literals(b: bytes, s: State) -> tuple[bytes, int]:
         if kind < 2:
             size = {1: 2, 3: 3}.get(form, 1)
             v = int.from_bytes(b[:size], "little")
-            return _plain_literals(b, size, v >> (3 if size == 1 else 4), kind == 1)
+            return plain_literals(b, size, v >> (3 if size == 1 else 4), kind == 1)
         size, width = (3, 10) if form < 2 else (4, 14) if form == 2 else (5, 18)
         v = int.from_bytes(b[:size], "little") >> 4
         n, stored, single, repeat = v & ((1 << width) - 1), v >> width, form == 0, kind == 3
@@ -232,7 +233,7 @@ def _literals(b: bytes, s: State) -> tuple[bytes, int]:
         used = s.tree[2]
     elif s.tree is None:
         raise FrameError("DictionaryCorrupted")
-    return _streams(b[size + used : end], s.tree, n, single), end
+    return read_streams(b[size + used : end], s.tree, n, single), end
 
 
 _CODES = (("ll", LL_NORM, 6, 35, 9), ("of", OF_NORM, 5, 31, 8), ("ml", ML_NORM, 6, 52, 9))
@@ -324,13 +325,13 @@ def decode_block(b: bytes, s: State, history: bytes = b"") -> None:
             raise FrameError("InvalidOffset")
         if back > max(s.window, BLOCK_MAX) and back <= len(out):
             raise FrameError("Corruption")
-        _copy(out, history, back, length)
+        copy_match(out, history, back, length)
     if bits.left:
         raise FrameError("Corruption")
     out += literals[done:]
 
 
-def _copy(out: bytearray, history: bytes, back: int, length: int) -> None:
+def copy_match(out: bytearray, history: bytes, back: int, length: int) -> None:
     before = back - len(out)
     if before > 0:
         got = history[len(history) - before :][:length]
@@ -360,52 +361,3 @@ def decode_regular(frame: bytes, dictionary: bytes = b"") -> bytes:
     if h.checksum and xxhash.xxh64_intdigest(bytes(s.out)) & 0xFFFFFFFF != int.from_bytes(frame[-4:], "little"):
         raise FrameError("ChecksumWrong")
     return bytes(s.out)
-
-
-#: Historic versions that can be decoded.
-DECODED = (6, 7)
-
-
-def decode_legacy(b: bytes, at: int = 0) -> tuple[bytes, int]:
-    """The content of the historic frame at an offset, and the offset after it."""
-    version = legacy_of(b, at)
-    if version not in DECODED:
-        raise FrameError("VersionUnsupported")
-    if at + 5 > len(b):
-        raise FrameError("SrcSizeWrong")
-    flags, at = b[at + 4], at + 5
-    if version == 7:
-        single = bool(flags & 32)
-        checked, ids = bool(flags & 4), (0, 1, 2, 4)[flags & 3]
-        fields = (0 if single else 1, ids, (1 if single else 0, 2, 4, 8)[flags >> 6])
-    else:
-        checked, fields = False, (0, 0, (0, 1, 2, 8)[flags >> 6])
-    at += fields[0] + fields[1]
-    n, content = fields[2], None
-    if n:
-        content = int.from_bytes(b[at : at + n], "little") + (256 if n == 2 else 0)
-    at += n
-    s = State(version=version, repeats=[1, 4, 8] if version == 7 else [1, 1, 1])
-    while True:
-        if at + 3 > len(b):
-            raise FrameError("SrcSizeWrong")
-        kind, size = b[at] >> 6, int.from_bytes(b[at : at + 3], "big") & 0x7FFFF
-        at += 3
-        if kind == 3:
-            tail = int.from_bytes(b[at - 3 : at], "big") & 0x3FFFFF
-            break
-        stored = 1 if kind == 2 else size
-        if at + stored > len(b):
-            raise FrameError("SrcSizeWrong")
-        body = b[at : at + stored]
-        at += stored
-        if kind == 0:
-            decode_block(body, s)
-        else:
-            s.out += body * size if kind == 2 else body
-    out = bytes(s.out)
-    if content is not None and len(out) != content:
-        raise FrameError("ContentSizeMismatch")
-    if checked and xxhash.xxh64_intdigest(out) >> 11 & 0x3FFFFF != tail:
-        raise FrameError("ChecksumWrong")
-    return out, at

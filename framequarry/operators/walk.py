@@ -94,6 +94,47 @@ def legacy_of(b: bytes, at: int = 0) -> int | None:
     return LEGACY.get(bytes(b[at : at + 4]).hex())
 
 
+def legacy_header(b: bytes, at: int, version: int) -> tuple[int, int | None, bool]:
+    """(offset after the header, declared size, checksum) of the historic frame at an offset."""
+    if version < 4:
+        return at + 4, None, False
+    _need(b, at + 5)
+    flags, end = b[at + 4], at + 5
+    if flags & {4: 0xF0, 5: 0xF0, 6: 0x20, 7: 0}[version]:
+        raise FrameError("FrameParameterUnsupported")
+    if version < 6:
+        return end, None, False
+    single = version == 7 and bool(flags & 32)
+    if version == 7:
+        end += (0 if single else 1) + (0, 1, 2, 4)[flags & 3]
+    n = (1 if single else 0, 2, 4, 8)[flags >> 6] if version == 7 else (0, 1, 2, 8)[flags >> 6]
+    _need(b, end + n)
+    content = int.from_bytes(b[end : end + n], "little") + (256 if n == 2 else 0) if n else None
+    return end + n, content, version == 7 and bool(flags & 4)
+
+
+def legacy_blocks(b: bytes, at: int) -> Iterator[tuple[int, int, int, int]]:
+    """(offset of the body, type, size, stored bytes) up to and with the end block of a historic frame; type 0 is compressed, 1 raw, 2 rle, 3 the end."""
+    kind = 0
+    while kind != 3:
+        _need(b, at + 3)
+        v = int.from_bytes(b[at : at + 3], "big")
+        kind, size = v >> 22, v & 0x7FFFF
+        at += 3
+        stored = (size, size, 1, 0)[kind]
+        _need(b, at + stored)
+        yield at, kind, size, stored
+        at += stored
+
+
+def legacy_end(b: bytes, at: int, version: int) -> int:
+    """The offset after the historic frame at an offset."""
+    end, _, _ = legacy_header(b, at, version)
+    for start, _, _, stored in legacy_blocks(b, end):
+        end = start + stored
+    return end
+
+
 def walk(b: bytes) -> Iterator[tuple[int, Header, int]]:
     """(offset, header, end) of each frame; a historic or unknown one raises InvalidMagic, a cut-off one SrcSizeWrong."""
     at = 0
@@ -107,10 +148,24 @@ def walk(b: bytes) -> Iterator[tuple[int, Header, int]]:
         at = end
 
 
+#: A historic frame counts as this many bytes in a bound.
+LEGACY_BOUND = 1 << 20
+
+
 def bound(b: bytes) -> int:
-    """The most bytes that the frames can give: declared sizes, else the blocks' (a compressed one counts as 128 KiB)."""
-    total = 0
-    for at, h, _ in walk(b):
+    """The most bytes that the frames can give: declared sizes, else the blocks' (a compressed one counts as 128 KiB); LEGACY_BOUND for a historic frame."""
+    total = at = 0
+    while at < len(b):
+        _need(b, at + 4)
+        version = legacy_of(b, at)
+        if version:
+            total, at = total + LEGACY_BOUND, legacy_end(b, at, version)
+            continue
+        try:
+            h, end = frame_end(b, at)
+        except FrameError as e:
+            raise FrameError("InvalidMagic") from e if str(e) == "PrefixUnknown" else e
         if h.kind == "regular":
             total += h.content if h.content is not None else sum(BLOCK_MAX if kind == "compressed" else size for _, kind, _, size, _ in read_blocks(b, at + h.size))
+        at = end
     return total

@@ -10,8 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framequarry.operators import codec
-from framequarry.operators.decoder import DECODED, decode_legacy, decode_regular
-from framequarry.operators.walk import FrameError, legacy_of
+from framequarry.operators.decoder import decode_regular
+from framequarry.operators.historic import decode_legacy
+from framequarry.operators.walk import LEGACY_BOUND, FrameError, bound, legacy_of
 from framequarry.plans.golden import GOLDEN, LEGACY_FRAMES
 
 LEGACY_TEXT = (
@@ -52,22 +53,29 @@ def test_known_frames(name, frame, want):
         assert len(decode_regular(b)) == want
 
 
-@pytest.mark.parametrize("version", DECODED)
+@pytest.mark.parametrize("version", range(1, 8))
 def test_historic_frames(version):
     b = bytes.fromhex(LEGACY_FRAMES[version])
+    assert legacy_of(b) == version
     assert decode_legacy(b) == (LEGACY_TEXT, len(b))
     assert codec.decode_all(zstandard.compress(b"before ") + b + zstandard.compress(b"after"), codec.DecompressOptions()) == b"before " + LEGACY_TEXT + b"after"
+    assert bound(b + zstandard.compress(b"after") + b) == 2 * LEGACY_BOUND + 5
     for cut in (1, 10, 100):
         with pytest.raises(FrameError):
             decode_legacy(b[:-cut])
+        with pytest.raises(FrameError, match="SrcSizeWrong"):
+            bound(b[:-cut])
 
 
-def test_other_historic_frames_are_refused_by_name():
-    for version, h in LEGACY_FRAMES.items():
-        assert legacy_of(bytes.fromhex(h)) == version
-        if version not in DECODED:
-            with pytest.raises(FrameError, match="VersionUnsupported"):
-                decode_legacy(bytes.fromhex(h))
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 7), st.integers(0, 10**6), st.integers(0, 7))
+def test_damaged_historic_frames_never_crash(version, place, bit):
+    b = bytearray.fromhex(LEGACY_FRAMES[version])
+    b[4 + place % (len(b) - 4)] ^= 1 << bit
+    try:
+        assert len(decode_legacy(bytes(b))[0]) <= 1 << 17
+    except FrameError:
+        pass
 
 
 @settings(max_examples=150, deadline=None)
@@ -80,3 +88,101 @@ def test_damage_never_goes_unnoticed_or_crashes(place, bit):
         assert decode_regular(bytes(frame)) == body
     except FrameError:
         pass
+
+
+def flat_frame(version: int, literals: bytes, sequences: list[tuple[int, int, int]]) -> bytes:
+    """A frame of version 0.2 to 0.5 with raw literals and flat tables; sequences are (literals, offset or 0 for a repeat, match)."""
+    extra, fields = bytearray(), []
+
+    def code(n: int, last: int) -> int:
+        if n < last:
+            return n
+        if n - last < 255:
+            extra.append(n - last)
+        else:
+            extra.append(255)
+            extra.extend(n.to_bytes(3, "little") if version < 5 else (n << 1 | (n >= 1 << 15)).to_bytes(3 if n >= 1 << 15 else 2, "little"))
+        return last
+
+    for count, back, length in sequences:
+        ll = code(count, 63)
+        ml = code(length - 4, 127)
+        fields.append((ll, back.bit_length(), ml, back))
+    stream: list[tuple[int, int]] = [(fields[0][0], 6), (fields[0][1], 5), (fields[0][2], 7)]
+    for i, (_, of, _, back) in enumerate(fields):
+        nll, nof, nml, _ = fields[i + 1] if i + 1 < len(fields) else (0, 0, 0, 0)
+        more = [(back - (1 << of - 1), of - 1)] if of else []
+        if version < 5:
+            stream += [(nll, 6), (nof, 5), *more, (nml, 7)]
+        elif i + 1 < len(fields):
+            stream += [*more, (nof, 5), (nll, 6), (nml, 7)]
+        else:
+            stream += more
+    value = 1
+    for v, n in stream:
+        value = value << n | v
+    packed = value.to_bytes((value.bit_length() + 7) // 8, "little")
+    n = len(sequences)
+    head = n.to_bytes(2, "little") if version < 5 else bytes([n]) if n < 128 else bytes([128 + (n >> 8), n & 255])
+    modes = 0b01010110 if version < 5 else 0b00000010
+    if version < 5:
+        body = (len(literals) << 2 | 1).to_bytes(3, "little") + literals
+    else:
+        body = (0b1011 << 20 | len(literals)).to_bytes(3, "big") + literals
+    body += head + bytes([modes]) + len(extra).to_bytes(2, "big") + extra + packed
+    magic = bytes.fromhex(LEGACY_FRAMES[version])[:4] + (b"\x08" if version > 3 else b"")
+    return magic + len(body).to_bytes(3, "big") + body + b"\xc0\x00\x00"
+
+
+def replay(literals: bytes, sequences: list[tuple[int, int, int]]) -> bytes:
+    out, at = bytearray(), 0
+    for count, back, length in sequences:
+        out += literals[at : at + count]
+        at += count
+        for _ in range(length):
+            out.append(out[-back])
+    return bytes(out + literals[at:])
+
+
+LONG = [(5, 3, 4), (70, 60, 140), (400, 333, 500), (1, 470, 131), (40_000, 9, 33_000), (63, 40_000, 386)]
+
+
+@pytest.mark.parametrize("version", [2, 3, 4, 5])
+def test_long_lengths_of_historic_frames(version):
+    literals = bytes(random.Random(5).randrange(97, 123) for _ in range(41_000))
+    frame = flat_frame(version, literals, LONG)
+    assert decode_legacy(frame) == (replay(literals, LONG), len(frame))
+
+
+@pytest.mark.parametrize("version", [4, 5])
+def test_historic_frames_against_the_codec_of_the_jvm(spark, version):
+    literals = bytes(random.Random(6).randrange(97, 123) for _ in range(41_000))
+    repeats = [(9, 7, 9), (3, 0, 5), (0, 0, 6), (4, 8, 12), (0, 0, 4), (2, 0, 4), (0, 5, 8), (0, 0, 4), (6, 0, 9), (2, 11, 4)]
+    for sequences in (LONG, repeats):
+        frame = flat_frame(version, literals, sequences)
+        got = bytes(spark._jvm.com.github.luben.zstd.Zstd.decompress(frame, 200_000))
+        assert decode_legacy(frame)[0] == got
+
+
+@pytest.mark.parametrize("version", [4, 5])
+@pytest.mark.parametrize("kind", range(4))
+def test_kinds_of_historic_tables(spark, version, kind):
+    """Three sequences of 5 literals and a match of 4, two or three bytes back, all three tables as one symbol each; other kinds must be refused."""
+    literals = b"abcdefghijklmnopqrst"
+    body = (len(literals) << 2 | 1).to_bytes(3, "little") if version < 5 else (0b1011 << 20 | len(literals)).to_bytes(3, "big")
+    body += literals + (b"\x03\x00" if version < 5 else b"\x03") + bytes([kind * 0b01010100, 0, 5, 2, 0, 0b1101])
+    frame = bytes.fromhex(LEGACY_FRAMES[version])[:4] + b"\x08" + len(body).to_bytes(3, "big") + body + b"\xc0\x00\x00"
+
+    def ours():
+        return decode_legacy(frame)[0]
+
+    def theirs():
+        return bytes(spark._jvm.com.github.luben.zstd.Zstd.decompress(frame, 1000))
+
+    if kind == (2 if version < 5 else 1):
+        assert ours() == theirs() == replay(literals, [(5, 3, 4), (5, 2, 4), (5, 3, 4)])
+    else:
+        with pytest.raises(FrameError):
+            ours()
+        with pytest.raises(Exception, match="ZstdException"):
+            theirs()
