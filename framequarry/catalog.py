@@ -334,6 +334,14 @@ def legacy_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("version", F.octet_length("r.data").cast("bigint").alias("n_bytes"), F.col("r.error_name").alias("error_name"))
 
 
+@query(_TEXT)
+def legacy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as frames of versions 0.2 to 0.5, by turns, and read back."""
+    made = payloads(spark, sf_dir).withColumn("v", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    frame = F.coalesce(*[codec.compress_historic(F.when(F.col("v") == i, F.col("payload")), v)["data"] for i, v in enumerate(codec.HISTORIC_WRITTEN)])
+    return made.withColumn("frame", frame).select("doc_id", codec.decompress("frame")["data"].cast("string").alias("text"))
+
+
 @query("SELECT version, n_bytes FROM (VALUES " + ", ".join(f"({v}, {len(h) // 2}::BIGINT)" for v, h in LEGACY_FRAMES.items()) + ") t(version, n_bytes)")
 def legacy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historic frames are told apart by their first bytes."""

@@ -18,6 +18,8 @@ from framequarry.functions.frames import CONTENT_ERROR, compress_bound, frame_he
 from framequarry.functions.parameters import STRATEGIES
 from framequarry.operators.decoder import decode_regular
 from framequarry.operators.historic import decode_legacy
+from framequarry.operators.historic_writer import VERSIONS as HISTORIC_WRITTEN
+from framequarry.operators.historic_writer import encode_historic
 from framequarry.operators.walk import FrameError, frame_end, legacy_of, read_blocks, read_header
 
 RESULT = "struct<data:binary,error_name:string>"
@@ -216,6 +218,17 @@ def compress(b: Column | str, options: CompressOptions | None = None) -> Column:
     return run(b)
 
 
+def compress_historic(b: Column | str, version: int) -> Column:
+    """RESULT of writing a binary column as frames of a historic version, 0.2 to 0.5."""
+
+    @F.pandas_udf(RESULT)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            yield pd.DataFrame([_tried(lambda x: encode_historic(x, version), x) for x in s], columns=["data", "error_name"])
+
+    return run(b)
+
+
 def decompress(b: Column | str, options: DecompressOptions | None = None) -> Column:
     """RESULT of decoding all frames of a binary column."""
     o = options or DecompressOptions()

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from framequarry.operators import codec
 from framequarry.operators.decoder import decode_regular
 from framequarry.operators.historic import decode_legacy
+from framequarry.operators.historic_writer import VERSIONS, block_of, encode_historic, frame_of
 from framequarry.operators.walk import LEGACY_BOUND, FrameError, bound, legacy_of
 from framequarry.plans.golden import GOLDEN, LEGACY_FRAMES
 
@@ -91,47 +92,7 @@ def test_damage_never_goes_unnoticed_or_crashes(place, bit):
 
 
 def flat_frame(version: int, literals: bytes, sequences: list[tuple[int, int, int]]) -> bytes:
-    """A frame of version 0.2 to 0.5 with raw literals and flat tables; sequences are (literals, offset or 0 for a repeat, match)."""
-    extra, fields = bytearray(), []
-
-    def code(n: int, last: int) -> int:
-        if n < last:
-            return n
-        if n - last < 255:
-            extra.append(n - last)
-        else:
-            extra.append(255)
-            extra.extend(n.to_bytes(3, "little") if version < 5 else (n << 1 | (n >= 1 << 15)).to_bytes(3 if n >= 1 << 15 else 2, "little"))
-        return last
-
-    for count, back, length in sequences:
-        ll = code(count, 63)
-        ml = code(length - 4, 127)
-        fields.append((ll, back.bit_length(), ml, back))
-    stream: list[tuple[int, int]] = [(fields[0][0], 6), (fields[0][1], 5), (fields[0][2], 7)]
-    for i, (_, of, _, back) in enumerate(fields):
-        nll, nof, nml, _ = fields[i + 1] if i + 1 < len(fields) else (0, 0, 0, 0)
-        more = [(back - (1 << of - 1), of - 1)] if of else []
-        if version < 5:
-            stream += [(nll, 6), (nof, 5), *more, (nml, 7)]
-        elif i + 1 < len(fields):
-            stream += [*more, (nof, 5), (nll, 6), (nml, 7)]
-        else:
-            stream += more
-    value = 1
-    for v, n in stream:
-        value = value << n | v
-    packed = value.to_bytes((value.bit_length() + 7) // 8, "little")
-    n = len(sequences)
-    head = n.to_bytes(2, "little") if version < 5 else bytes([n]) if n < 128 else bytes([128 + (n >> 8), n & 255])
-    modes = 0b01010110 if version < 5 else 0b00000010
-    if version < 5:
-        body = (len(literals) << 2 | 1).to_bytes(3, "little") + literals
-    else:
-        body = (0b1011 << 20 | len(literals)).to_bytes(3, "big") + literals
-    body += head + bytes([modes]) + len(extra).to_bytes(2, "big") + extra + packed
-    magic = bytes.fromhex(LEGACY_FRAMES[version])[:4] + (b"\x08" if version > 3 else b"")
-    return magic + len(body).to_bytes(3, "big") + body + b"\xc0\x00\x00"
+    return frame_of(version, [(0, block_of(version, literals, sequences))])
 
 
 def replay(literals: bytes, sequences: list[tuple[int, int, int]]) -> bytes:
@@ -186,3 +147,29 @@ def test_kinds_of_historic_tables(spark, version, kind):
             ours()
         with pytest.raises(Exception, match="ZstdException"):
             theirs()
+
+
+@pytest.mark.parametrize("version", VERSIONS)
+def test_historic_writer(spark, version):
+    for body in some_bodies():
+        frame = encode_historic(body, version)
+        assert decode_legacy(frame) == (body, len(frame))
+        assert len(frame) <= len(body) + 16 + 3 * (len(body) // (1 << 17))
+        if version > 3 and body:
+            assert bytes(spark._jvm.com.github.luben.zstd.Zstd.decompress(frame, len(body))) == body
+    assert len(encode_historic(b"some text, " * 500, version)) < 100
+    rows = spark.createDataFrame([(1, bytearray(b"abc" * 50)), (2, None), (3, bytearray())], "id int, b binary")
+    got = {r.id: r.r for r in rows.select("id", codec.compress_historic("b", version).alias("r")).collect()}
+    assert bytes(got[1].data) == encode_historic(b"abc" * 50, version) and got[2].data is None and decode_legacy(bytes(got[3].data))[0] == b""
+
+
+@pytest.mark.parametrize("version", [1, 6, 7, 8])
+def test_versions_that_are_not_written(version):
+    with pytest.raises(FrameError, match="VersionUnsupported"):
+        encode_historic(b"abc", version)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(VERSIONS), st.lists(st.sampled_from([b"a", b"bc", b"some words ", b"\x00" * 90, b"xyz" * 150]), max_size=60).map(b"".join))
+def test_historic_round_trips(version, body):
+    assert decode_legacy(encode_historic(body, version))[0] == body
