@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.functions.bytes import first_true, high_bit
+from framequarry.functions.bytes import first_true, high_bit, let
 from framequarry.functions.frames import BLOCK_MAX, WINDOW_LOG_MAX, compress_bound, write_frame_header
 
 # Fixed values.
@@ -107,18 +107,31 @@ def compute_split(n: Column, threads: Column, strategy: Column, plan: Column, ch
     """struct<num_jobs, job_size, overlap, needed>: how n bytes are divided among parallel jobs, and the room their frame can need."""
     n = n.cast("bigint")
     up = lambda a, b: F.floor((a + b - 1) / b).cast("bigint")
+    no_more = lambda jobs: F.when(jobs > n, F.greatest(n, F.lit(1))).otherwise(jobs)
     jobs = F.least(F.when(n == 0, 1).otherwise(up(n, F.lit(max(job_min, 1)))), F.greatest(threads, F.lit(1)) * JOBS_PER_WORKER)
-    jobs = F.when(jobs > n, F.greatest(n, F.lit(1))).otherwise(jobs)
-    size = F.when(jobs <= 1, n).otherwise(up(n, jobs))
-    log = high_bit(plan["history_limit"])
-    base = F.when(ldm, F.least(log, F.greatest(high_bit(size) - 2, F.lit(0)))).otherwise(log)
-    overlap = F.when(jobs > 1, F.pow(F.lit(2), F.least(F.greatest(base - (9 - overlap_log(strategy)), F.lit(0)), log)).cast("bigint")).otherwise(0)
-    size2 = F.when(jobs > 1, F.greatest(size, overlap)).otherwise(n)
-    jobs2 = F.when(jobs > 1, F.when(size < overlap, up(n, size2)).otherwise(jobs)).otherwise(1)
-    jobs2 = F.when(jobs2 > n, F.greatest(n, F.lit(1))).otherwise(jobs2)
-    head = F.octet_length(write_frame_header(n, plan["window_size"], plan["dict_id"], checksum, plan["single_segment"]))
-    slots = (jobs2 - 1) * compress_bound(size2) + compress_bound(n - (jobs2 - 1) * size2)
-    return F.struct(jobs2.cast("bigint").alias("num_jobs"), size2.alias("job_size"), overlap.cast("bigint").alias("overlap"), (head + slots + 4).alias("needed"))
+
+    def overlap_of(jobs: Column, size: Column, log: Column) -> Column:
+        base = F.when(ldm, F.least(log, F.greatest(high_bit(size) - 2, F.lit(0)))).otherwise(log)
+        return F.when(jobs > 1, F.pow(F.lit(2), F.least(F.greatest(base - (9 - overlap_log(strategy)), F.lit(0)), log)).cast("bigint")).otherwise(0).cast("bigint")
+
+    def done(jobs: Column, size: Column, overlap: Column) -> Column:
+        head = F.octet_length(write_frame_header(n, plan["window_size"], plan["dict_id"], checksum, plan["single_segment"]))
+        slots = (jobs - 1) * compress_bound(size) + compress_bound(n - (jobs - 1) * size)
+        return F.struct(jobs.alias("num_jobs"), size.alias("job_size"), overlap.alias("overlap"), (head + slots + 4).alias("needed"))
+
+    def grown(jobs: Column, size: Column, overlap: Column) -> Column:
+        """Jobs are at least as long as their overlap, which may leave fewer of them."""
+        longer = F.when(jobs > 1, F.greatest(size, overlap)).otherwise(n)
+        fewer = lambda at_least: F.when(jobs > 1, F.when(size < overlap, up(n, at_least)).otherwise(jobs)).otherwise(1)
+        return let(longer, lambda size2: let(no_more(fewer(size2)).cast("bigint"), lambda jobs2: done(jobs2, size2, overlap)))
+
+    def sized(jobs: Column) -> Column:
+        return let(
+            F.when(jobs <= 1, n).otherwise(up(n, jobs)),
+            lambda size: let(high_bit(plan["history_limit"]), lambda log: let(overlap_of(jobs, size, log), lambda overlap: grown(jobs, size, overlap))),
+        )
+
+    return let(no_more(jobs).cast("bigint"), sized)
 
 
 def adjust_ldm(window_log: Column, strategy_no: Column, hash_log: Column) -> Column:
