@@ -242,6 +242,52 @@ def test_wide_radius_finds_near_copies_and_spares_others(spark):
     assert all(out[2 * i] == 2 * i for i in range(120))
 
 
+def families(seed: int, n_families: int, n: int, low: float, high: float) -> list[tuple[int, str]]:
+    """Texts that keep a part of their family's template, so that similarities lie on both sides of 0.8."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for _ in range(n_families):
+        template = [word() for _ in range(300)]
+        for _ in range(n):
+            at, keep = rng.randint(0, 280), rng.uniform(low, high)
+            w = list(template)
+            w[at : at + round(300 * (1 - keep))] = [word() for _ in range(round(300 * (1 - keep)))]
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def candidate_components(rows: list[tuple[int, str]], radius: int, similarity: float) -> dict[int, int]:
+    """By every pair that meets in a band and lies within the radius."""
+    h = {i: np.unique(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    prints = {i: int.from_bytes(simhash.simhash(x, 512)) for i, x in h.items()}
+    bands = {i: set(simhash._bands(x, 16, 5)) for i, x in h.items()}
+    up = {i: i for i in h}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in combinations(sorted(h), 2):
+        if bands[a] & bands[b] and (prints[a] ^ prints[b]).bit_count() <= radius:
+            both = len(np.intersect1d(h[a], h[b]))
+            if both >= similarity * (len(h[a]) + len(h[b]) - both):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in h}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_no_link_is_lost_behind_one_that_fails(spark, seed):
+    rows = families(seed, 4, 60, 0.86, 0.92)
+    want = candidate_components(rows, 92, 0.8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in simhash.simhash_components(df, bits=512, ngram=5, radius=92, similarity=0.8).collect()}
+    assert len(set(want.values())) > 8
+    assert out == want
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (5, 5)]
     rng = random.Random(1)
