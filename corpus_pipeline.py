@@ -17,8 +17,8 @@ from framequarry.llm.queries import MIX_SEED, MIX_WEIGHTS, domain_of, vocabulary
 
 #: Share of the remaining tokens that the mixture takes. No document is given twice.
 BUDGET = 0.9
-#: Links of at most 92 of 512 bits are candidates (a similarity of 0.8 differs in 75 or so); their sets of five-word shingles are then compared.
-NEAR = {"bits": 512, "ngram": 5, "radius": 92, "similarity": 0.8}
+#: Links of at most 108 of 512 bits are candidates (a similarity of 0.8 differs in 77 or so with a deviation of 8); their sets of five-word shingles are then compared.
+NEAR = {"bits": 512, "ngram": 5, "radius": 108, "similarity": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from framequarry.llm import _words, line_dedup, queries, simhash, substring_dedup
 from framequarry.llm._bktree import BKForest
 from framequarry.llm._components import connected_components
@@ -288,6 +289,16 @@ def test_no_link_is_lost_behind_one_that_fails(spark, seed):
     assert out == want
 
 
+def test_pairs_at_the_threshold_lie_within_the_pipelines_radius():
+    rng = np.random.default_rng(4)
+    far = []
+    for _ in range(3000):
+        h = rng.integers(0, 2**64, 300, np.uint64)
+        a, b = (int.from_bytes(simhash.simhash(x, corpus_pipeline.NEAR["bits"])) for x in (h[:270], np.concatenate([h[:240], h[270:]])))
+        far.append((a ^ b).bit_count())
+    assert np.mean(np.array(far) > corpus_pipeline.NEAR["radius"]) < 0.001
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (5, 5)]
     rng = random.Random(1)
