@@ -217,6 +217,17 @@ def test_simhash_of_odd_rows(spark):
     assert sorted((r.doc_id for r in kept), key=str) == [4, 9, None]
 
 
+def test_different_texts_under_one_id_stay(spark):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[0]), (9, texts[1]), (10, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (10, texts[4])}
+    for options in ({}, {"bits": 512, "ngram": 5, "radius": 108, "similarity": 0.8}):
+        kept = [tuple(r) for r in simhash.one_of_each(df, **options).collect()]
+        assert len(kept) == len(want) and set(kept) == want
+
+
 def jaccard(a: str, b: str, n: int = 5) -> float:
     x, y = (set(simhash.shingle_hashes(t, n).tolist()) for t in (a, b))
     return len(x & y) / len(x | y)
