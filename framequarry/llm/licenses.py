@@ -51,11 +51,35 @@ RULES = (
     ("bsd", "d", False),
     ("proprietary", "x", False),
 )
+#: Sentences of whole licences, wrapped or not, and how their genuine texts go on.
+PASSAGES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "including without limitation the rights",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "",
+    "the software is provided as is without warranty of any kind express or implied": "including but not limited to the warranties",
+    "licensed under the apache license version 2 0 the license": "",
+    "you may not use this file except in compliance with the license": "",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "as published by the free software foundation",
+    "this program is distributed in the hope that it will be useful but without any warranty": "",
+    "redistribution and use in source and binary forms with or without modification are permitted": "provided that the following conditions",
+}
+
+
+def _passage(known: str, after: str) -> str:
+    """Matches the words with anything but letters and digits between them, before the end of a sentence or the words that go on."""
+    gap = "[^A-Za-z0-9]+"
+    end = r"(?=[^A-Za-z0-9\n.!?;:]*(?:[.!?;:]|$" + ("|" + gap + gap.join(after.split()) + r"\b" if after else "") + "))"
+    return r"(?i)\b" + gap.join(known.split()) + end
 
 
 def sentences(text: Column) -> Column:
-    """A text's sentences, normalised: lower case, runs of other characters than letters and digits as one space."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;:])[ \t]+", "$1\n")
+    """A text's sentences, normalised: lower case, runs of other characters than letters and digits as one space.
+
+    Lines end sentences, but the passages of whole licences are found across lines and comment prefixes and stand as sentences of their own.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    for known, after in PASSAGES.items():
+        whole = F.regexp_replace(whole, _passage(known, after), f"\n{known}\n")
+    cut = F.regexp_replace(whole, r"([.!?;:])[ \t]+", "$1\n")
     lines = F.filter(F.split(cut, "\n"), lambda s: (F.length(s) >= 12) & (F.length(s) <= 400))
     return F.transform(lines, lambda s: F.trim(F.regexp_replace(ascii_lower(s), r"[^a-z0-9]+", " ")))
 

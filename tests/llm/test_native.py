@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -156,6 +157,29 @@ def test_licences(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+)
+GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
+    "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+)
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice."
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_verbatim_licences_wrapped_and_not(spark, prefix):
+    want = {"mit": (MIT, ["mit-text"]), "gpl": (GPL, ["gpl-3.0-notice"]), "bsd": (BSD, ["bsd"])}
+    shape = lambda t, n: "Intro words.\n" + "\n".join(prefix + x for x in textwrap.wrap(t, n)) + "\nMore words."
+    rows = [(f"{k}-{n}", shape(t, n)) for k, (t, _) in want.items() for n in (50, 72, 80, 10**6)]
+    rows.append(("other", "Redistribution and use in source and binary forms with or without modification are permitted only to members."))
+    out = {r.name: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, "name string, text string")).collect()}
+    assert out == {n: [] if n == "other" else want[n.split("-")[0]][1] for n, _ in rows}
+
+
 def test_ordered_rules_use_up_identifiers(spark):
     ids = spark.createDataFrame([("aco",), ("axcyo",), ("a",), ("oca",), ("acoa",)], "ids string")
     out = [r.x for r in ids.select(licenses.licence_matches(F.col("ids")).alias("x")).collect()]
