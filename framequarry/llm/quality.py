@@ -37,7 +37,7 @@ BASE_RULES = (
     Rule("too_few_words", "n_words", None, 50, None),
     Rule("repeated_windows", "n_repeat_words", "n_words", None, 0.5),
 )
-#: The method's own rules. They are wide on purpose: a clean text of any language or layout passes.
+#: The method's own rules. They are wide on purpose, but the stop words are of four languages: a clean text of another language, or a word list or table, may fail stop_word_ratio.
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2, 20),
     Rule("symbol_ratio", "n_symbols", "n_words", None, 0.3),
