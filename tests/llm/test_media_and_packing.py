@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -8,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from framequarry.llm import ogg, packing, queries
 
@@ -76,8 +79,6 @@ def test_media_columns(spark):
 
 
 def test_query_holds_the_payload(spark, sf_dir):
-    import hashlib
-
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = queries.op1_ogg_media(spark, sf_dir).collect()
     assert len(out) == len(texts)
@@ -102,7 +103,67 @@ def test_ids_are_those_of_the_tokenizers_library(spark, sf_dir, tokenizer):
     texts = ODD_TEXTS + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     code = packing.encoder(queries.vocabulary_path())
     for t in texts:
-        assert code.encode(t, allowed_special="all") == tokenizer.encode(t, add_special_tokens=False).ids
+        assert code(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+LONG = {
+    "spaces": " " * 10**6 + "a",
+    "newlines": "b" + "\n" * 10**6 + "a",
+    "only spaces": " " * 10**6,
+    "letters": "ab" * 300_000,
+    "digits and dots": "7" * 200_000 + "." * 200_000,
+    "mixed": (" \n\t\u3000" * 1000 + "x") * 50,
+    "before a special token": "a" + "\t" * 2000 + "<|endoftext|>" + " " * 2000 + "<|endoftext|>" + "word " * 20_000 + " " * 1500,
+    "at the limit": "".join("w" + " " * n for n in range(990, 1010)) + "x" * packing.LONG_TEXT,
+    "other controls": "a" + " \x1c" * 2000 + "\x85\xa0" * 800 + "b " * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_ids_of_long_runs(tokenizer, name):
+    assert packing.encoder(queries.vocabulary_path())(LONG[name]).tolist() == tokenizer.encode(LONG[name], add_special_tokens=False).ids
+
+
+def test_long_runs_do_not_end_the_task(spark, tokenizer):
+    rows = [(1, LONG["spaces"]), (2, "a b"), (3, LONG["newlines"])]
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.vocabulary_path()).collect()
+    assert check_pieces(out, ids, 2048, 256, 2048) == 0
+
+
+@pytest.mark.parametrize("change", ["merges", "prefix", "normalizer"])
+def test_other_vocabulary_files_are_run_by_their_library(tmp_path, change):
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(queries.vocabulary_path(), encoding="utf-8"))
+    if change == "merges":
+        spec["model"]["merges"] = spec["model"]["merges"][1000:] + spec["model"]["merges"][:1000]
+    elif change == "prefix":
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    else:
+        spec["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "v.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    text = "The quick brown Fox, 12 times  over."
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_prompts_of_conversations_under_binding_limits(spark, sf_dir, tokenizer):
+    """Instruction data: a conversation's turns but the last are its prompt. Both further limits bind, as the counts without them go beyond."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    whole = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["role"], F.lit(": "), x["text"], F.lit("\n"))), "")
+    rows = whole.select("doc_id", said(F.col("t")).alias("text"), said(F.slice("t", 1, F.size("t") - 1)).alias("prompt"))
+    ids = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1] for r in rows.collect()}
+    per = lambda out, f: max(f([r for r in out if r.sequence_id == s]) for s in {r.sequence_id for r in out})
+    loss_of = lambda x: sum(r.loss_tokens for r in x)
+    free = packing.pack(rows, queries.vocabulary_path(), prompt_col="prompt").collect()
+    segments, loss = per(free, len) - 1, per(free, loss_of) // 2
+    assert segments > 1 and loss > 50
+    for s, n in ((segments, 2048), (256, loss), (segments, loss)):
+        tight = packing.pack(rows, queries.vocabulary_path(), prompt_col="prompt", segments=s, loss=n).collect()
+        assert check_pieces(tight, ids, 2048, s, n) == 0
+        assert per(tight, len) == s or per(tight, loss_of) > 0.9 * n
 
 
 @settings(max_examples=200, deadline=None)
@@ -112,7 +173,7 @@ def test_ids_of_any_text(text):
 
     global _HF
     _HF = globals().get("_HF") or Tokenizer.from_file(queries.vocabulary_path())
-    assert packing.encoder(queries.vocabulary_path()).encode(text, allowed_special="all") == _HF.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(queries.vocabulary_path())(text).tolist() == _HF.encode(text, add_special_tokens=False).ids
 
 
 def check_pieces(out, ids: dict[int, list[int]], length: int, segments: int, loss: int) -> int:
