@@ -175,24 +175,26 @@ SELECT *, NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 20 *
 
 
 def _op7() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
-    rest, found = "ids", "''"
+    sentences = licenses.known_sentences()
+    known = ", ".join(f"('{s}', '{i}')" for s, i in sentences.items())
+    norm = f"chr(10) || chr(10) || translate(coalesce(text, ''), '{licenses.FROM}', '{licenses.TO}') || chr(10) || chr(10)"
+    for pattern, mark in licenses.STEPS:
+        norm = f"regexp_replace({norm}, '{pattern}', '{mark}', 'g')"
     parts = []
     for k, (name, sequence, gaps) in enumerate(licenses.RULES):
-        pattern = "([a-z]*?)".join(sequence) if gaps else sequence
-        left = "".join(f"\\{i}" for i in range(1, len(sequence))) if gaps else ""
+        pattern, groups = licenses.rule_pattern(sequence, gaps)
+        left = "".join(f"\\{i + 1}" for i in range(groups))
         parts.append(
-            f"r{k} AS (SELECT doc_id, ids, regexp_replace(rest, '{pattern}', '{left}', 'g') AS rest, "
-            f"CASE WHEN regexp_matches(rest, '{pattern}') THEN list_append(found, '{name}') ELSE found END AS found FROM r{k - 1})"
+            f"r{k} AS (SELECT doc_id, ids, regexp_replace(rest, '{pattern}', '{left}', 'g') AS rest, CASE WHEN regexp_matches(rest, '{pattern}') AND NOT list_contains(found, '{name}') "
+            f"THEN list_append(found, '{name}') ELSE found END AS found FROM {f'r{k - 1}' if k else 'start'})"
         )
     return f"""
 WITH known(s, i) AS (VALUES {known}),
-cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS x FROM documents),
-line AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS n FROM cut),
-norm AS (SELECT doc_id, n, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS s FROM line WHERE length(t) BETWEEN 12 AND 400),
-hit AS (SELECT doc_id, string_agg(i, '' ORDER BY n) AS ids FROM norm JOIN known USING (s) GROUP BY doc_id),
-"r-1" AS (SELECT doc_id, coalesce(ids, '') AS ids, coalesce(ids, '') AS rest, []::VARCHAR[] AS found FROM documents LEFT JOIN hit USING (doc_id)),
-{", ".join(parts).replace("FROM r-1)", 'FROM "r-1")')}
+cut AS (SELECT doc_id, regexp_extract_all({norm}, '{licenses.sentence_pattern(sentences)}', 1) AS x FROM documents),
+line AS (SELECT doc_id, replace(unnest(x), '//', ' ') AS s, generate_subscripts(x, 1) AS n FROM cut),
+hit AS (SELECT doc_id, string_agg(i, '' ORDER BY n) AS ids FROM line JOIN known USING (s) GROUP BY doc_id),
+start AS (SELECT doc_id, coalesce(ids, '') AS ids, coalesce(ids, '') AS rest, []::VARCHAR[] AS found FROM documents LEFT JOIN hit USING (doc_id)),
+{", ".join(parts)}
 SELECT doc_id, ids AS sentence_ids, array_to_string(found, ',') AS licenses, len(found)::BIGINT AS n_licenses FROM r{len(licenses.RULES) - 1}
 """
 
@@ -214,14 +216,14 @@ i{k} AS (SELECT *, min(CASE WHEN per_weight < fill AND fill = open_fill THEN per
 b{k + 1} AS (SELECT {cols}, (CASE WHEN open_fill IS NULL OR fill < open_fill THEN capacity ELSE least(capacity, floor(weight * open_per)) END)::BIGINT AS budget FROM i{k})""")
         up = list(keys)
     return f"""
-WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' ELSE CASE try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 3 WHEN 0 THEN 'books' WHEN 1 THEN 'news' WHEN 2 THEN 'code' ELSE 'other' END END AS domain,
+WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' ELSE CASE try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER) % 3 WHEN 0 THEN 'books' WHEN 1 THEN 'news' WHEN 2 THEN 'code' ELSE 'other' END END AS domain,
   lang, source, ceil(coalesce(strlen(text), 0) / 4.0)::BIGINT AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {MIX_EPOCHS})::BIGINT AS capacity FROM d GROUP BY ALL),
 b0 AS (SELECT least(floor(sum(tokens) * {MIX_BUDGET}::DOUBLE), sum(capacity))::BIGINT AS budget FROM leaves),{",".join(steps)},
 plan AS (SELECT l.domain, l.lang, l.source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest
   FROM leaves l JOIN b3 b ON l.domain IS NOT DISTINCT FROM b.domain AND l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source),
 p AS (SELECT d.*, whole, rest, ('0x' || substr(md5('{MIX_SEED}:' || (whole + 1)::VARCHAR || ':' || doc_id::VARCHAR), 1, 15))::BIGINT AS h
-  FROM d JOIN plan USING (domain, lang, source)),
+  FROM d JOIN plan l ON l.domain IS NOT DISTINCT FROM d.domain AND l.lang IS NOT DISTINCT FROM d.lang AND l.source IS NOT DISTINCT FROM d.source),
 q AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM p)
 SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, whole + 1))::INTEGER AS epoch FROM p WHERE whole > 0
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, (whole + 1)::INTEGER FROM q WHERE rest > 0 AND run <= rest
