@@ -5,7 +5,9 @@ The first 60 bits come from the id's MD5. They decide until none are left; the n
 prefixes that don't fit after `step` bits go on to the next round, alone. Rows that share all bits overflow into pages of equal size, numbered by two-level counts, so
 no hot id is gathered in one task. All of it is built-in expressions.
 
-Defined cases: null ids hash as the text "null", null texts count no bytes; equal rows may lie in different overflow pages; a row larger than the limit is a page of its own;
+`directory` gives the slots of the result's buckets.
+
+Defined cases: null ids hash as the text "null", null texts count no bytes, long ones all of theirs; equal rows may lie in different overflow pages; a row larger than the limit is a page of its own;
 further columns stay; columns with the result's names are replaced; an empty table gives an empty result.
 """
 
@@ -69,6 +71,29 @@ def extendible_shards(df: DataFrame, limit: int, id_col: str = "doc_id", text_co
     return _named(done.unionByName(_overflow(rows, limit).select(*result)), rest)
 
 
+def directory(shards: DataFrame) -> DataFrame:
+    """The directory of rows placed by extendible_shards: shard, depth, global_depth (the most bits that any bucket uses) and the slots that point to the bucket.
+
+    Slots are indexed by the first global_depth bits. A bucket of fewer bits has 2**(global_depth - depth) neighbouring ones, given by the first and the last, as bits: so the
+    directory has a row for each bucket and not for each slot. Pages of an overflowing bucket share its slot. Halves of split buckets that hold no row are buckets too, so all slots
+    point somewhere.
+    """
+    buckets = shards.select("shard", "depth", F.substring_index("shard", "/", 1).alias("bits")).distinct()
+    path = buckets.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("bits")), lambda k: F.substring(F.col("bits"), F.lit(1), k))).alias("bits")).distinct()
+    other = F.concat(F.expr("left(bits, length(bits) - 1)"), F.translate(F.right("bits", F.lit(1)), "01", "10"))
+    empty = path.where("bits <> ''").select(other.alias("bits")).join(path, "bits", "left_anti").select(F.col("bits").alias("shard"), F.length("bits").alias("depth"), "bits")
+    every = buckets.unionByName(empty)
+    deepest = every.agg(F.max("depth").alias("global_depth"))
+    filled = lambda c: F.rpad("bits", F.col("global_depth"), c)
+    return every.crossJoin(deepest).select("shard", "depth", "global_depth", filled("0").alias("first_slot"), filled("1").alias("last_slot"))  # a one-row side
+
+
+def slot_bits(id_col: str, text_col: str) -> Column:
+    """All bits that a directory may index by, as a string: a row belongs to the bucket whose slots its first bits lie between."""
+    both = hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), hash_bits(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.concat(*[F.lpad(F.bin(h), BITS, "0") for h in both])
+
+
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Equal rows in pages that fit: a row's number is the rows of its hash in the partitions before it plus its number in its own."""
     key = ["parent", "h2"]
