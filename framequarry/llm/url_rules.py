@@ -4,12 +4,14 @@ A host is written as its labels in reverse order, each followed by a dot: `m.exa
 interval [`net.example.`, `net.example/`), since `/` follows `.` and occurs in no host. The intervals are nested or disjoint. One sorted sweep over urls and
 interval ends keeps the stack of rules that are active: each interval end carries the stack that holds after it, and a url reads the last one before it.
 
-Any subset of the urls can be swept with all rules, so the urls are dealt in turn into `lanes` sweeps (default: four for each shuffle partition) and the rules'
+Any subset of the urls can be swept with all rules, so the urls are dealt by a hash of their rows into `lanes` sweeps (default: four for each shuffle partition) and the rules'
 ends are repeated in each. A host with a third of all pages is spread evenly, and no url is grouped with others by key. The stacks themselves come from equi-joins of each rule with its
 ancestors. All of it is built-in expressions.
 
+Equal rows meet in one sweep, which sorts them with spilling.
+
 Defined cases: a null url, or one without `://`, has an empty host and path and gets no rule; repeated rows are kept; a rule's host matches itself and all its
-subdomains; among the rules that fit, the longest host wins, then the longest path, then the larger text; without a rule the verdict is `default`;
+subdomains; among the rules that fit, the longest host wins, then the longest path, then the larger text; urls of any length are read whole; without a rule the verdict is `default`;
 columns with the result's names are replaced; empty tables work on either side.
 """
 
@@ -27,7 +29,10 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """The rules as a table of literals."""
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(f"({', '.join(map(quoted, r))})" for r in rules)
+    return spark.sql(f"SELECT * FROM VALUES {rows or '(NULL, NULL, NULL)'} AS t(host, path, verdict)").select(*[F.col(c).cast("string").alias(c) for c in ("host", "path", "verdict")])
 
 
 def url_host(url: Column) -> Column:
@@ -89,9 +94,12 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
     lanes = lanes or 4 * int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keep = [c for c in urls.columns if c not in {"host", "path", "rule", "verdict"}]
     rows = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_none"))
-    base = urls.select(rows.alias("row"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    # by a hash of the row, so a task that is run again deals its rows as before
+    whole = [F.col(c) for c, t in urls.dtypes if not any(k in t for k in ("map<", "variant", "interval"))]
+    lane = F.pmod(F.xxhash64(*whole), F.lit(lanes)).cast("int").alias("lane")
+    base = urls.select(lane, rows.alias("row"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     pages = base.select(
-        F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int").alias("lane"),
+        "lane",
         host_key(F.col("host")).alias("k"),
         F.lit(2**30).alias("step"),
         F.lit(None).cast("array<struct<hl:int,pl:int,host:string,path:string,verdict:string>>").alias("stack"),
