@@ -16,6 +16,12 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 NULL_ID = -(2**63)
 
 
+def row_ids(id_col: str, text_col: str) -> Column:
+    """The id as a bigint. Rows with a null id get one by their text, below all ids from -2**63 + 2**61 on: a third of all rows may have none, and they must not meet in one task."""
+    own = F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string")), 3) + F.lit(NULL_ID)
+    return F.coalesce(F.col(id_col).cast("long"), own)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, as the session names it.
 

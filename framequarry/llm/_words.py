@@ -17,10 +17,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A second word hash, by a bijection of the first."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
+def long_word_hashes(words: list[bytes]) -> np.ndarray:
+    """128 bits of each word, as two numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def _powers(base: int, inverse: bool, n: int) -> np.ndarray:

@@ -14,8 +14,11 @@ Within a chunk equal hashes collapse before the exchange, so a passage that a th
 Buckets are sorted by Spark (which spills) and read one at a time. Hashes and positions travel as packed columns, a few hundred to a row. The three steps read one
 exchange of the texts by document id, which Spark reuses. Nothing is cached: a lost executor's part is computed again from lineage.
 
-Defined cases: a null text has no words; null ids form one document that comes before all others; rows that share an id are read as parts of one document, in the
-order of their texts' hashes, each with its own row in the result; texts of fewer than 20 words lose nothing; further columns stay, ones with the result's names are replaced; an empty table gives an empty result.
+Buckets are four for each shuffle partition (that setting is to follow the data, as for any join); one holds its share of the hashes in a worker, about 0.6 bytes for each byte of text.
+
+Defined cases: a null text has no words; rows with a null id are documents of their own that come before all others, in the order of their texts' hashes; rows that share
+an id are read as parts of one document, in the order of their texts' hashes, each with its own row in the result; rows equal in id and text are one document and have the same
+result; texts of fewer than 20 words lose nothing, texts of any length are read whole; further columns stay, ones with the result's names are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.llm._common import NULL_ID
-from framequarry.llm._words import mixed, pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted, window_hashes, word_hashes
+from framequarry.llm._common import row_ids
+from framequarry.llm._words import long_word_hashes, pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted, window_hashes, word_hashes
 
 #: A perfect difference cover.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -45,10 +48,13 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _first_and_rest(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hash, document and position; which entries of that order begin a group, and which have an equal neighbour."""
+    """Order by hash, document and position, each place once; which entries of that order begin a group, and which have an equal neighbour."""
     order = np.lexsort((at, docs, h2, h1))
     a, b = h1[order], h2[order]
     same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    again = same & (docs[order[1:]] == docs[order[:-1]]) & (at[order[1:]] == at[order[:-1]])
+    if again.any():
+        order, same = order[np.concatenate([[True], ~again])], same[~again]
     begins = np.concatenate([[True], ~same]) if len(order) else np.empty(0, bool)
     twice = np.zeros(len(order), bool)
     twice[1:] |= same
@@ -94,10 +100,11 @@ def _anchors(length: int, buckets: int) -> Callable:
         yield from _dealt(h[first], none[:0], docs[first], at[first], docs[known], at[known], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        parts, n, last = [], 0, None
         for b in slices(batches):
             for doc, part, text in zip(b.column("id_").to_pylist(), b.column("part_").to_pylist(), b.column("text_").to_pylist(), strict=True):
-                words = _words(text)
+                words = _words(text) if (doc, part) != last else []
+                last = doc, part
                 if len(words) >= length:
                     hashes = window_hashes(word_hashes(words), span)
                     p = (np.arange(0, len(hashes), PERIOD)[:, None] + cover).ravel()
@@ -176,10 +183,13 @@ def _windows(length: int, buckets: int) -> Callable:
         yield from _dealt(h1[first], h2[first], docs[first], at[first], docs[later], at[later], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        parts, n, last = [], 0, None
         back = np.arange(PERIOD)
         for b in slices(batches):
             for doc, part, text, at, n_at in zip(*(b.column(c).to_pylist() for c in ("id_", "part_", "text_")), _lists(b.column("at_")), _lists(b.column("n_")), strict=True):
+                if (doc, part) == last:
+                    continue
+                last = doc, part
                 at = _own(at, n_at, part)
                 words = _words(text) if len(at) else []
                 if len(words) >= length:
@@ -187,8 +197,8 @@ def _windows(length: int, buckets: int) -> Callable:
                     s = (at[:, None] - back).ravel()
                     marks[s[s >= 0]] = True
                     s = np.flatnonzero(marks[: len(words) - length + 1])
-                    h = word_hashes(words)
-                    parts.append((window_hashes(h, length)[s], window_hashes(mixed(h), length, 1)[s], np.full(len(s), doc), s + (part << PART)))
+                    h = long_word_hashes(words)
+                    parts.append((window_hashes(h[:, 0], length)[s], window_hashes(h[:, 1], length, 1)[s], np.full(len(s), doc), s + (part << PART)))
                     n += len(s)
             if n >= CHUNK_WORDS:
                 yield from send(parts)
@@ -222,7 +232,7 @@ def _result(length: int) -> Callable:
     return run
 
 
-_OWN = {"id_", "part_", "text_", "at_", "n_"}
+_OWN = {"id_", "part_", "text_", "none_", "at_", "n_"}
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20) -> DataFrame:
@@ -237,17 +247,17 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = [c for c in df.columns if c not in {id_col, text_col, "n_words", "n_removed", "kept_text", *_OWN}]
     id_type = df.schema[id_col].dataType
     # without further columns all three steps read the same columns, so Spark exchanges the texts once
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id_"), F.col(text_col).alias("text_"), *rest).repartition("id_")
-    texts = rows.withColumn("part_", F.row_number().over(Window.partitionBy("id_").orderBy(F.xxhash64("text_"))).cast("long") - 1)
+    rows = df.select(row_ids(id_col, text_col).alias("id_"), F.col(text_col).alias("text_"), F.col(id_col).isNull().alias("none_"), *rest).repartition("id_")
+    texts = rows.withColumn("part_", F.dense_rank().over(Window.partitionBy("id_").orderBy(F.xxhash64("text_"), "text_")).cast("long") - 1)
 
     def gathered(packed: DataFrame, f: Callable) -> DataFrame:
         found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(f, "id_ long, at long, n long")
         return found.groupBy("id_").agg(F.collect_list("at").alias("at_"), F.collect_list("n").alias("n_"))
 
-    own = ["id_", "part_", "text_"]
+    own = ["id_", "part_", "text_", "none_"]
     anchors = texts.select(own).mapInArrow(_anchors(length, buckets), _PACKED)
     windows = texts.select(own).join(gathered(anchors, _repeated), "id_").select(*own, "at_", "n_").mapInArrow(_windows(length, buckets), _PACKED)
-    given = F.when(F.col("id_") != NULL_ID, F.col("id_")).cast(id_type).alias(id_col)
+    given = F.when(~F.col("none_"), F.col("id_")).cast(id_type).alias(id_col)
     marked = texts.join(gathered(windows, _later), "id_", "left").select(given, *rest, "part_", "text_", "at_", "n_")
     schema = marked.select(id_col, *rest).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return marked.mapInArrow(_result(length), schema)
