@@ -3,14 +3,14 @@
 1. Every text sends one row for each distinct line key of enough characters: the key's 128-bit hash, the document and the line's first position.
 2. The rows are range-partitioned by (hash, document descending, position) and sorted, so a key that a third of all documents hold spreads over many partitions.
    Rows and partitions are checkpointed, as both are read twice.
-3. Each partition reports its first and last key with the number of documents it saw (at most `min_docs`): a few values per partition, which the driver turns into
-   what every partition needs to know of its neighbours.
+3. Each partition reports its first and last key with the number of documents it saw (at most `min_docs`): a row per partition. Windows over these rows say what every partition
+   needs to know of its neighbours, and that row is joined to it.
 4. Each partition streams its rows. The first document of a key, the largest id, keeps its lines; once `min_docs` documents have been seen, all others lose them.
    Only one batch and what waits for the last document needed are held.
 5. The dropped keys return to their documents, which yield a zlib-compressed bitmap of the lines that stay.
 
-Defined cases: a null or empty text is one empty line; null ids form one document that is smaller than all others; rows that share an id are one document as to who
-holds a key, each with its own bitmap; equal lines of the keeper all stay; further columns stay; columns with the result's names are replaced; an empty table gives an empty result.
+Defined cases: a null or empty text is one empty line; rows with a null id are documents of their own, told apart by their texts and smaller than all others; rows that share an id
+are one document as to who holds a key, each with its own bitmap; lines and texts of any length are read whole; equal lines of the keeper all stay; further columns stay; columns with the result's names are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.llm._common import LOWER, NULL_ID, UPPER, WHITESPACE, checkpointed
+from framequarry.llm._common import LOWER, UPPER, WHITESPACE, checkpointed, row_ids
 from framequarry.llm._words import slices
 
 _TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -81,15 +81,14 @@ def _documents(b: pa.RecordBatch, last: tuple | None) -> tuple[np.ndarray, ...]:
 
 
 def _ends(min_docs: int) -> Callable:
-    """A partition's first and last key, the documents seen of each, the ids at its ends, and whether it holds one key only."""
+    """A partition's first key and, if it is another one, its last key: the documents seen of it, and the ids at the partition's ends (null where the key does not reach that end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first, first_n, last, last_n, one, head = None, 0, None, 0, True, None
+        first, first_n, last, last_n, one, head, pid = None, 0, None, 0, True, None, None
         for b in batches:
             if not b.num_rows:
                 continue
+            pid = b.column("pid")[0].as_py()
             h1, h2, docs, new_key = _documents(b, last)
             begins = np.flatnonzero(new_key)
             if len(h1):
@@ -103,52 +102,36 @@ def _ends(min_docs: int) -> Callable:
                 one = one and not len(begins)
             last = tuple(x[-1] for x in _columns(b))
         if first is not None:
-            row = (TaskContext.get().partitionId(), *map(int, first), int(head), min(first_n, min_docs), *map(int, last), min(last_n, min_docs), one)
-            kinds = [pa.int64()] * 9 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=_END_NAMES)
+            rows = [(pid, 0, *map(int, first), min(first_n, min_docs), int(head), int(last[2]) if one else None)]
+            if not one:
+                rows.append((pid, 1, *map(int, last[:2]), min(last_n, min_docs), None, int(last[2])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_END_NAMES)
 
     return run
 
 
-_END_NAMES = ["pid", "f1", "f2", "head", "f_n", "l1", "l2", "tail", "l_n", "one"]
-_END_SCHEMA = "pid long, f1 long, f2 long, head long, f_n long, l1 long, l2 long, tail long, l_n long, one boolean"
+_END_NAMES = ["pid", "kind", "k1", "k2", "n", "head", "tail"]
 
 
-def _carried(ends: list, min_docs: int) -> dict[int, tuple]:
-    """For each partition: documents of its first key in the partitions before, the id just before it, and documents of its last key in those after it.
+def _carried(ends: DataFrame) -> DataFrame:
+    """For each partition (pid): documents of its first key in the partitions before (n_before), the id just before it (doc_before), and documents of its last key in those after it (n_after).
 
-    A document whose rows of one key lie on both sides of a border counts once.
+    Windows over the ends of one key, of which there are two for each partition at most. A document whose rows of one key lie on both sides of a border counts once.
     """
-    ends = sorted(ends, key=lambda r: r.pid)
-    before: dict[int, tuple] = {}
-    key, n, tail = None, 0, None
-    for r in ends:
-        same = key == (r.f1, r.f2)
-        before[r.pid] = (n if same else 0, tail if same else None)
-        if r.one:
-            n = (n - (tail == r.head) if same else 0) + r.f_n
-        else:
-            n = r.l_n
-        key, n, tail = (r.l1, r.l2), min(n, min_docs + 1), r.tail
-    out, key, n, head = {}, None, 0, None
-    for r in reversed(ends):
-        after = n - (head == r.tail) if key == (r.l1, r.l2) else 0
-        out[r.pid] = (*before[r.pid], after)
-        if r.one:
-            n = r.f_n + after
-        else:
-            n = r.f_n
-        key, n, head = (r.f1, r.f2), min(n, min_docs + 1), r.head
-    return out
-
-
-def _dropped(min_docs: int, carried: dict[int, tuple]) -> Callable:
-    """Sorted rows to (document, key hash) that lose their lines."""
+    of_key = Window.partitionBy("k1", "k2").orderBy("pid")
+    twice = F.coalesce((F.lag("tail").over(of_key) == F.col("head")).cast("long"), F.lit(0))
+    rows = ends.withColumns({"own": F.col("n") - twice, "doc": F.lag("tail").over(of_key)})
+    total = lambda a, b: F.coalesce(F.sum("own").over(of_key.rowsBetween(a, b)), F.lit(0))
+    rows = rows.withColumns({"before": total(Window.unboundedPreceding, -1), "after": total(1, Window.unboundedFollowing)})
+    begins = F.col("kind") == 0
+    return rows.groupBy("pid").agg(F.max(F.when(begins, F.col("before"))).alias("n_before"), F.max(F.when(begins, F.col("doc"))).alias("doc_before"), F.max_by("after", "kind").alias("n_after"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        n_before, doc_before, n_after = carried.get(TaskContext.get().partitionId(), (0, None, 0))
+def _dropped(min_docs: int) -> Callable:
+    """Sorted rows, with what their partition has to know of its neighbours, to (document, key hash) that lose their lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_before, doc_before, n_after = 0, None, 0
         last, seen, waits = None, 0, []  # of the key that runs on: documents so far, and those that lose it if enough come
         begun = False
 
@@ -158,6 +141,8 @@ def _dropped(min_docs: int, carried: dict[int, tuple]) -> Callable:
         for b in batches:
             if not b.num_rows:
                 continue
+            if not begun:
+                n_before, doc_before, n_after = (b.column(c)[0].as_py() for c in ("n_before", "doc_before", "n_after"))
             if not begun and n_before:
                 last = (*(x[0] for x in _columns(b)[:2]), doc_before)
                 seen = n_before
@@ -238,13 +223,16 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _marked(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     """df with its text as text_, and n_lines, n_dropped and keep_bitmap."""
-    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    id_ = row_ids(id_col, text_col)
     rows = df.select(id_.alias("id_"), F.col(text_col).alias("text_")).mapInArrow(_keys(min_chars), "h1 long, h2 long, id_ long, line long")
     rows = checkpointed(rows)  # range partitioning reads them twice, first for a sample
     order = ("h1", "h2", F.desc("id_"), "line")
     ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    ends = ranged.mapInArrow(_ends(min_docs), _END_SCHEMA).collect()  # one short row per partition
-    lost = ranged.mapInArrow(_dropped(min_docs, _carried(ends, min_docs)), "id_ long, h1 long, h2 long")
+    # a checkpoint keeps its partitions, and there is one row of four numbers for each of them, which bounds what is broadcast
+    placed = ranged.withColumn("pid", F.spark_partition_id().cast("long"))
+    carried = _carried(placed.mapInArrow(_ends(min_docs), ", ".join(f"{c} long" for c in _END_NAMES)))
+    placed = placed.join(F.broadcast(carried), "pid")
+    lost = placed.mapInArrow(_dropped(min_docs), "id_ long, h1 long, h2 long")
     digest = F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
     gone = lost.groupBy("id_").agg(F.collect_set(digest).alias("gone_"))
     names = {"text_", "gone_", "id_", "n_lines", "n_dropped", "keep_bitmap", "kept_text"}
