@@ -8,10 +8,12 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framequarry.llm import _words, line_dedup, queries, simhash, substring_dedup
 from framequarry.llm._bktree import BKForest
+from framequarry.llm._common import row_ids
 from framequarry.llm._components import connected_components
 
 
@@ -66,12 +68,39 @@ def test_substrings_of_odd_rows(spark):
     rows = [(None, t, "k"), (None, t, "l"), (5, t, "m"), (5, t, "n"), (6, t + " tail", "o"), (7, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
     out = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(df).collect())
-    assert out == [(False, 0, 30, 0), (False, 0, 30, 30), (True, 5, 30, 30), (True, 5, 30, 30), (True, 6, 31, 30), (True, 7, 0, 0)]
+    assert out == [(False, 0, 30, 0), (False, 0, 30, 0), (True, 5, 30, 30), (True, 5, 30, 30), (True, 6, 31, 30), (True, 7, 0, 0)]
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
     extra = substring_dedup.substring_dedup(df.withColumnRenamed("n_words", "at_x")).collect()
     assert {r.at_x for r in extra} == {"k", "l", "m", "n", "o", None}
 
 
+def own_ids(rows: list[tuple[int | None, str | None]]) -> list[tuple[int, str | None]]:
+    """Rows with a null id under ids of their texts, below all others."""
+    return [(-(2**63) + (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 3) if i is None else i, t) for i, t in rows]
+
+
+def test_substrings_of_many_rows_without_an_id(spark):
+    rows = [(None if k % 3 == 0 and i > 5 else i, t) for k, (i, t) in enumerate(some_texts(6, 150)) if t]
+    rows += [(None, rows[7][1]), (None, rows[8][1]), *rows[30:33]]
+    want = slow_substrings(list(dict.fromkeys(own_ids(rows))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df).collect()]
+    assert sorted(out, key=str) == sorted(((i, *want[j]) for (i, _), (j, _) in zip(rows, own_ids(rows), strict=True)), key=str)
+
+
+def test_rows_without_an_id_do_not_meet(spark):
+    rows = [(None if i % 3 == 0 else i, f"text {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(row_ids("doc_id", "text").alias("id_"))
+    sizes = [r["count"] for r in df.repartition(30, "id_").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * 30 and df.distinct().count() == 900
+
+
+def test_substrings_of_very_long_texts(spark):
+    t = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, t), (2, "x " + t), (3, "y" * 3_000_000), (4, " " * 3_000_000 + "z")], "doc_id long, text string")
+    assert {i: x[:2] for i, x in substrings(df).items()} == {1: (200_000, 0), 2: (200_001, 200_000), 3: (1, 0), 4: (1, 0)}
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(1)
     for top in (1, 200, 60_000, 2**31, 2**62):
@@ -143,6 +172,21 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_lines_of_many_rows_without_an_id(spark):
+    rows = [(None if k % 3 == 0 else i, t) for k, (i, t) in enumerate(line_rows(7)) if t]
+    rows = list({(i, t): None for i, t in rows})
+    want = slow_lines(own_ids(rows))
+    out = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(out, key=str) == sorted(((i, *want[j]) for (i, _), (j, _) in zip(rows, own_ids(rows), strict=True)), key=str)
+
+
+def test_lines_of_very_long_texts(spark):
+    long = "x" * 2_000_000
+    rows = [(1, long), (2, long + "\n" + "\n" * 300_000), (3, " " + long.upper()), (4, " " * 2_000_000)]
+    out = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == slow_lines(rows)
+
+
 # SimHash
 
 
@@ -254,6 +298,43 @@ def test_wide_radius_finds_near_copies_and_spares_others(spark):
     assert all(out[2 * i] == 2 * i for i in range(120))
 
 
+def similar_pairs(texts: dict[int, str], n: int, least: float) -> set[tuple[int, int]]:
+    """All pairs of texts whose sets of shingles have the similarity, by the shingles that they share."""
+    sets = {i: set(simhash.shingle_hashes(t, n).tolist()) for i, t in texts.items()}
+    at = defaultdict(list)
+    for i in sorted(sets):
+        for h in sets[i]:
+            at[h].append(i)
+    common = defaultdict(int)
+    for ids in at.values():
+        for a, b in combinations(ids, 2):
+            common[a, b] += 1
+    return {p for p, k in common.items() if k >= least * (len(sets[p[0]]) + len(sets[p[1]]) - k)}
+
+
+def test_recall_of_the_pipelines_near_dedup_over_all_pairs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    one = {}
+    for i in sorted(texts):
+        one.setdefault(texts[i], i)
+    pairs = similar_pairs({i: t for t, i in one.items()}, corpus_pipeline.NEAR["ngram"], corpus_pipeline.NEAR["similarity"])
+    found = {r.doc_id: r.component_id for r in simhash.simhash_components(docs, **corpus_pipeline.NEAR).collect()}
+    assert len(pairs) >= 5
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(found[i] == found[one[t]] for i, t in texts.items())
+    up = {i: i for i in one.values()}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    assert all(root(a) == root(found[a]) for a in one.values())  # nothing else is joined
+
+
 def families(seed: int, n_families: int, n: int, low: float, high: float) -> list[tuple[int, str]]:
     """Texts that keep a part of their family's template, so that similarities lie on both sides of 0.8."""
     rng = random.Random(seed)

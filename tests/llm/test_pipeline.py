@@ -69,6 +69,33 @@ def test_odd_rows_pass_through(spark, sf_dir, tmp_path):
             assert docs.where(F.col("doc_id").isin(50, 51)).count() == 1  # of its line the largest id keeps it
 
 
+def test_null_and_repeated_ids_lose_no_text(spark, sf_dir, tmp_path):
+    """Unrelated texts under null and repeated ids all come through; of equal and near ones, one does, whatever their ids are."""
+    rng = random.Random(12)
+    body = lambda: " ".join(rng.choice(["the", "of"]) + " " + "".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    texts = [body() for _ in range(40)]
+    ids = [rng.choice([None, None, 5, 6, 100 + i]) for i in range(40)]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in zip(ids, texts, strict=True)]
+    near = {k: texts[k] + " a few more words" for k in range(0, 10)}
+    rows += [(rng.choice([None, 5, 900 + k]), t, "en", "src2", len(t)) for k, t in near.items()]
+    rows += [(rng.choice([None, 5]), texts[k], "de", None, 1) for k in range(10, 20)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one = stage(spark, docs, 0, sf_dir, tmp_path)
+    assert sorted(map(str, one.collect())) == sorted(map(str, docs.collect()))
+    two = stage(spark, one, 1, sf_dir, tmp_path)
+    assert two.count() == len(rows) and {r.text for r in two.collect()} >= set(texts) - {t for t in texts if sum(r[1] == t for r in rows) > 2}
+    three = stage(spark, two, 2, sf_dir, tmp_path)
+    left = [r.text for r in three.collect()]
+    assert len(left) == len(set(left)) == 40
+    assert all((t in left) + (near.get(k) in left) == 1 for k, t in enumerate(texts))
+    four = stage(spark, three, 3, sf_dir, tmp_path)
+    assert 30 <= four.count() <= 40
+    pieces = corpus_pipeline.STAGES[4][1](spark, four, sf_dir).collect()
+    whole = [r for r in pieces if r.start == 0]
+    assert len(whole) == four.count() and sum(r.length for r in pieces) == sum(r.doc_tokens for r in whole)
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_empty_tables(spark, sf_dir, k):
     assert corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame([], SCHEMA), sf_dir).count() == 0
