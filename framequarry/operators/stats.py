@@ -13,9 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Table sizes, as powers of two, and when a small share is rounded up.
+# Table sizes, as powers of two.
 LOG_MIN, LOG_MAX, LOG_DEFAULT = 5, 12, 11
-ROUND_UP = (0, 473195, 504333, 520860, 550000, 700000, 750000, 830000)
 CODE_DEPTH = 11
 
 
@@ -78,38 +77,15 @@ def optimal_table_log(total: int, max_symbol: int, wanted: int = LOG_DEFAULT) ->
 
 
 def normalized(counts: np.ndarray, log: int) -> np.ndarray:
-    """Counts scaled to a sum of 2**log, each present symbol at least 1.
-
-    Shares are rounded by a table for the small ones, the largest takes what is over; if that would cost it half, the present symbols are filled by largest remainder instead.
-    """
-    total, size = int(counts.sum()), 1 << log
+    """Counts scaled to a sum of 2**log by largest remainder: each present symbol has 1, and its share of what is left. Of equal remainders the smaller symbol's counts first."""
     present = np.flatnonzero(counts)
-    out = np.zeros(len(counts), np.int64)
-    if len(present) > size or not total:
+    if not len(present) or len(present) > 1 << log:
         raise ValueError("the table is too small")
-    if len(present) == 1:
-        out[present] = size
-        return out
-    scale = 62 - log
-    step = (1 << 62) // total
-    for s in present.tolist():
-        c = int(counts[s])
-        if c <= total >> log:
-            out[s] = 1
-            continue
-        p = c * step >> scale
-        if p < len(ROUND_UP) and c * step - (p << scale) > ROUND_UP[p] << (scale - 20):
-            p += 1
-        out[s] = p
-    over = size - int(out.sum())
-    top = int(np.argmax(out))
-    if -over < out[top] >> 1:
-        out[top] += over
-        return out
-    exact = counts[present] * (size - len(present)) / total
-    out[present] = 1 + np.floor(exact).astype(np.int64)
-    for s in present[np.argsort(-(exact - np.floor(exact)), kind="stable")][: size - int(out.sum())]:
-        out[s] += 1
+    share = [divmod(int(c) * ((1 << log) - len(present)), int(counts.sum())) for c in counts[present]]
+    out = np.zeros(len(counts), np.int64)
+    out[present] = [1 + whole for whole, _ in share]
+    over = (1 << log) - int(out.sum())
+    out[sorted(present.tolist(), key=dict(zip(present.tolist(), (-rest for _, rest in share), strict=True)).get)[:over]] += 1
     return out
 
 
@@ -154,13 +130,25 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join([*(f"{k} {types[k]}" for k in keys), "symbol int", "n long", "value long"])
 
 
-def normalized_counts(histogram: DataFrame, keys: list[str], log: int | None = None) -> DataFrame:
-    """keys, symbol, n, value: counts scaled to a power of two."""
+def table_log(total: Column, max_symbol: Column, wanted: int = LOG_DEFAULT) -> Column:
+    """optimal_table_log as an expression."""
+    bits = lambda x: F.when(x > 0, F.length(F.bin(x))).otherwise(0)
+    least = F.least(bits(total), bits(max_symbol) + 1)
+    log = F.least(F.lit(wanted), F.greatest(bits(total - 1) - 3, F.lit(0)))
+    return F.when(total <= 1, LOG_MIN).otherwise(F.greatest(F.lit(LOG_MIN), F.least(F.lit(LOG_MAX), F.greatest(log, least))))
 
-    def each(counts: np.ndarray) -> np.ndarray:
-        return normalized(counts, log or optimal_table_log(int(counts.sum()), int(np.flatnonzero(counts).max())))
 
-    return _per_buffer(histogram, keys, _schema(histogram, keys), each)
+def normalized_counts(histogram: DataFrame, keys: list[str], log: int | None = None) -> DataFrame:
+    """keys, symbol, n, value: counts scaled to 2**log (default: table_log) as by `normalized`, null if a key has more symbols than that. Windows over the 256 counts of a key."""
+    of_key = Window.partitionBy(*keys)
+    facts = histogram.withColumns({"total": F.sum("n").over(of_key), "present": F.count("*").over(of_key), "top": F.max("symbol").over(of_key).cast("long")})
+    size = F.lit(1 << log) if log else F.pow(F.lit(2), table_log(F.col("total"), F.col("top"))).cast("long")
+    share = F.col("n").cast("decimal(20,0)") * (F.col("size") - F.col("present"))
+    parts = facts.withColumn("size", size.cast("long")).select("*", F.floor(share / F.col("total")).cast("long").alias("whole"), (share % F.col("total")).cast("long").alias("rest"))
+    over = F.col("size") - F.col("present") - F.sum("whole").over(of_key)
+    placed = parts.withColumns({"over": over, "place": F.row_number().over(of_key.orderBy(F.desc("rest"), "symbol"))})
+    value = 1 + F.col("whole") + F.when(F.col("place") <= F.col("over"), 1).otherwise(0)
+    return placed.select(*keys, "symbol", "n", F.when(F.col("present") <= F.col("size"), value).alias("value"))
 
 
 def huffman_lengths(histogram: DataFrame, keys: list[str], depth: int = CODE_DEPTH) -> DataFrame:

@@ -4,23 +4,18 @@ from __future__ import annotations
 
 #: Name, frame in hex, decoded length (None: malformed, must be refused).
 GOLDEN = (
-    ("interop official empty frame", "28b52ffd240001000099e9d851", 0),
-    ("interop official single byte", "28b52ffd240109000058e51ae36e", 1),
-    ("interop official raw literals", "28b52ffd2419c9000048656c6c6f2c205a7374616e6461726420696e7465726f702120b9d2ea", 25),
-    ("interop official compressed block", "28b52ffd6400014d00001041420100fba90e0b3f3fb4f7", 512),
-    ("interop golden empty block", "28b52ffd00001500000000", 0),
-    ("interop golden zeroSeq literal", "28b52ffd00008500006848656c6c6f20576f726c64210a8000", 13),
-    ("interop golden invalid offset rejected", "28b52ffd0000450000080002002f430bae", None),
-    ("interop golden truncated Huffman rejected", "28b52ffd000055000072800104207e1f02aa00", None),
-    ("interop golden extraneous sequence rejected", "28b52ffd00009500006848656c6c6f20576f726c64210a80000000", None),
-    ("empty_block", "28b52ffd00001500000000", 0),
-    ("zero_seq", "28b52ffd00008500006848656c6c6f20576f726c64210a8000", 13),
-    ("rle_blocks", "28b52ffda4000010000200100002001000020010000200100002001000020010000200100003001000f13e16e1", 1048576),
-    ("off0", "28b52ffd0000450000080002002f430bae", None),
-    ("trunc_huff", "28b52ffd000055000072800104207e1f02aa00", None),
-    ("extra_seq", "28b52ffd00009500006848656c6c6f20576f726c64210a80000000", None),
-    ("raw_frame", "28b52ffd200d69000048656c6c6f2c20576f726c6421", 13),
-    ("rle_frame", "28b52ffd204003020041", 64),
+    ("nothing, with checksum", "28b52ffd240001000099e9d851", 0),
+    ("one byte, with checksum", "28b52ffd240109000058e51ae36e", 1),
+    ("raw block, with checksum", "28b52ffd2419c9000048656c6c6f2c205a7374616e6461726420696e7465726f702120b9d2ea", 25),
+    ("one sequence in a block", "28b52ffd6400014d00001041420100fba90e0b3f3fb4f7", 512),
+    ("block without bytes", "28b52ffd00001500000000", 0),
+    ("literals without sequences", "28b52ffd00008500006848656c6c6f20576f726c64210a8000", 13),
+    ("run blocks, with checksum", "28b52ffda4000010000200100002001000020010000200100002001000020010000200100003001000f13e16e1", 1048576),
+    ("distance zero", "28b52ffd0000450000080002002f430bae", None),
+    ("literals cut off", "28b52ffd000055000072800104207e1f02aa00", None),
+    ("bytes after no sequences", "28b52ffd00009500006848656c6c6f20576f726c64210a80000000", None),
+    ("one raw block", "28b52ffd200d69000048656c6c6f2c20576f726c6421", 13),
+    ("one run block", "28b52ffd204003020041", 64),
 )
 
 #: One frame of each historic version, all of the same 239 bytes of text.
