@@ -13,7 +13,8 @@ import xxhash
 
 from framequarry.functions.frames import BLOCK_MAX
 from framequarry.functions.parameters import LL_BASE, ML_BASE
-from framequarry.operators.walk import FrameError, read_blocks, read_header
+from framequarry.operators.hashes import XXH64
+from framequarry.operators.walk import FrameError, legacy_of, read_blocks, read_header
 
 # Extra bits and default distributions of the three codes.
 LL_BITS = (0,) * 16 + (1, 1, 1, 1, 2, 2, 3, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16)
@@ -331,6 +332,85 @@ def decode_block(b: bytes, s: State, history: bytes = b"") -> None:
     out += literals[done:]
 
 
+class StreamDecoder:
+    """Frames that arrive in pieces: blocks leave as soon as they are whole. Only plain values are held: the bytes that no block has taken, the window, tables and the checksum's state."""
+
+    def __init__(self, max_window: int = 1 << 27, ignore_checksum: bool = False, whole: Callable[[bytes], tuple[bytes, int] | None] | None = None):
+        """whole: decodes the frame at the start of some bytes if it is there whole and of a kind of its own; gives its content and size, or None to go on by blocks."""
+        self.max_window, self.ignore_checksum, self.whole = max_window, ignore_checksum, whole
+        self.rest, self.skip, self.header, self.ended = b"", 0, None, False
+
+    @property
+    def idle(self) -> bool:
+        """Whether no frame is open."""
+        return not self.rest and not self.skip and self.header is None
+
+    def feed(self, data: bytes) -> bytes:
+        self.rest += data
+        out = []
+        while self.rest:
+            if self.skip:
+                n = min(self.skip, len(self.rest))
+                self.rest, self.skip = self.rest[n:], self.skip - n
+                continue
+            got = self._block() if self.header else self._head()
+            if got is None:
+                break
+            out.append(got)
+        return b"".join(out)
+
+    def _head(self) -> bytes | None:
+        if len(self.rest) < 4:
+            return None
+        got = self.whole(self.rest) if self.whole else None
+        if got:
+            self.rest = self.rest[got[1] :]
+            return got[0]
+        try:
+            h = read_header(self.rest)
+        except FrameError as e:
+            if str(e) == "SrcSizeWrong" or str(e) == "PrefixUnknown" and legacy_of(self.rest):
+                return None
+            raise
+        if h.kind == "skippable":
+            self.rest, self.skip = self.rest[8:], h.content
+            return b""
+        if h.window > self.max_window:
+            raise FrameError("WindowTooLarge")
+        self.header, self.rest, self.made, self.ended = h, self.rest[h.size :], 0, False
+        self.state, self.hash = State(window=h.window), XXH64()
+        return b""
+
+    def _block(self) -> bytes | None:
+        if self.ended:
+            if len(self.rest) < 4:
+                return None
+            if not self.ignore_checksum and self.hash.digest() & 0xFFFFFFFF != int.from_bytes(self.rest[:4], "little"):
+                raise FrameError("ChecksumWrong")
+            self.rest, self.header = self.rest[4:], None
+            return b""
+        try:
+            _, kind, last, size, stored = next(read_blocks(self.rest, 0))
+        except FrameError as e:
+            if str(e) == "SrcSizeWrong":
+                return None
+            raise
+        s, before = self.state, len(self.state.out)
+        add_block(s, kind, size, self.rest[3 : 3 + stored])
+        got, self.rest = bytes(s.out[before:]), self.rest[3 + stored :]
+        self.made += len(got)
+        del s.out[: max(0, len(s.out) - max(self.header.window, BLOCK_MAX))]
+        if self.header.checksum and not self.ignore_checksum:
+            self.hash.update(got)
+        if last:
+            if self.header.content is not None and self.made != self.header.content:
+                raise FrameError("ContentSizeMismatch")
+            self.ended = True
+            if not self.header.checksum:
+                self.header = None
+        return got
+
+
 def copy_match(out: bytearray, history: bytes, back: int, length: int) -> None:
     before = back - len(out)
     if before > 0:
@@ -343,19 +423,30 @@ def copy_match(out: bytearray, history: bytes, back: int, length: int) -> None:
         length -= len(part)
 
 
-def decode_regular(frame: bytes, dictionary: bytes = b"") -> bytes:
-    """One whole RFC 8878 frame."""
+def add_block(s: State, kind: str, size: int, body: bytes, dictionary: bytes = b"", room: int | None = None) -> None:
+    """A block of any kind, appended to the state's output; DstSizeTooSmall if it gives more than `room` bytes."""
+    begin = len(s.out)
+    if room is not None and kind != "compressed" and size > room:
+        raise FrameError("DstSizeTooSmall")
+    if kind == "compressed":
+        decode_block(body, s, dictionary)
+        if len(s.out) - begin > BLOCK_MAX:
+            raise FrameError("Corruption")
+        if room is not None and len(s.out) - begin > room:
+            raise FrameError("DstSizeTooSmall")
+    else:
+        s.out += body * size if kind == "rle" else body
+
+
+def decode_regular(frame: bytes, dictionary: bytes = b"", room: int | None = None, state: State | None = None) -> bytes:
+    """One whole RFC 8878 frame. room: the most bytes it may give, beyond which decoding stops; state: what a prepared dictionary lends the first block."""
     h = read_header(frame)
-    s = State(window=h.window)
+    s = state or State()
+    s.window = h.window
+    if room is not None and h.content is not None and h.content > room:
+        raise FrameError("DstSizeTooSmall")
     for at, kind, _, size, stored in read_blocks(frame, h.size):
-        body = frame[at + 3 : at + 3 + stored]
-        if kind == "compressed":
-            begin = len(s.out)
-            decode_block(body, s, dictionary)
-            if len(s.out) - begin > BLOCK_MAX:
-                raise FrameError("Corruption")
-        else:
-            s.out += body * size if kind == "rle" else body
+        add_block(s, kind, size, frame[at + 3 : at + 3 + stored], dictionary, None if room is None else room - len(s.out))
     if h.content is not None and len(s.out) != h.content:
         raise FrameError("ContentSizeMismatch")
     if h.checksum and xxhash.xxh64_intdigest(bytes(s.out)) & 0xFFFFFFFF != int.from_bytes(frame[-4:], "little"):

@@ -219,8 +219,8 @@ def _run(bits: Bits, n: int, tables: list, extra: _Extra, version: int, literals
     out += literals[done:]
 
 
-def decode_legacy(b: bytes, at: int = 0) -> tuple[bytes, int]:
-    """The content of the historic frame at an offset, and the offset after it."""
+def decode_legacy(b: bytes, at: int = 0, room: int | None = None) -> tuple[bytes, int]:
+    """The content of the historic frame at an offset, and the offset after it. room: the most bytes it may give, beyond which decoding stops."""
     version = legacy_of(b, at)
     if version is None:
         raise FrameError("PrefixUnknown")
@@ -236,6 +236,8 @@ def decode_legacy(b: bytes, at: int = 0) -> tuple[bytes, int]:
             s.out += body * size if kind == 2 else body
         if len(s.out) - before > BLOCK_MAX:
             raise FrameError("Corruption")
+        if room is not None and len(s.out) > room:
+            raise FrameError("DstSizeTooSmall")
     out = bytes(s.out)
     if content is not None and len(out) != content:
         raise FrameError("ContentSizeMismatch")
