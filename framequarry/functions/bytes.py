@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,14 +12,10 @@ def _col(x: Column | str | int) -> Column:
     return F.lit(x) if isinstance(x, int) else F.col(x) if isinstance(x, str) else x
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once per row: long expressions stay small where they use a value often."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df with a column as a row value of its own. Spark can't hand an expression with lambda variables to a Python function, and would copy it there."""
-    return df.withColumn(name, F.explode(F.array(name)))
+    """df with a column as a row value of its own: made once, and neither copied into the expressions that use it nor into filters that would move below it."""
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.inline(F.array(F.struct(F.col(name).alias(name))))).select(*df.columns)
 
 
 def part(b: Column, offset: Column | int, n: Column | int) -> Column:
@@ -28,17 +23,34 @@ def part(b: Column, offset: Column | int, n: Column | int) -> Column:
     return F.substring(b, _col(offset).cast("int") + 1, _col(n).cast("int"))
 
 
+def latin(b: Column) -> Column:
+    """Each byte as the character of its number, for byte_of."""
+    return F.decode(b, "ISO-8859-1")
+
+
+def byte_of(chars: Column, at: Column | int) -> Column:
+    """The number of a character of latin text, as a bigint; 0 beyond its end."""
+    return F.ascii(F.substring(chars, _col(at).cast("int") + 1, F.lit(1))).cast("bigint")
+
+
+def number_of(chars: Column, at: Column | int, n: int) -> Column:
+    """The little-endian number of n characters of latin text: bigint up to 7 bytes, decimal(20,0) for 8."""
+    at = _col(at)
+    value = reduce(Column.bitwiseOR, [F.shiftleft(byte_of(chars, at + i), 8 * i) for i in range(min(n, 7))])
+    return value if n < 8 else byte_of(chars, at + 7).cast("decimal(20,0)") * F.lit(1 << 56).cast("decimal(20,0)") + value.cast("decimal(20,0)")
+
+
 def read_le(b: Column, offset: Column | int, n: int) -> Column:
     """An unsigned number of n bytes: bigint up to 7 bytes, decimal(20,0) for 8. Null if the buffer is too short."""
     offset = _col(offset)
-    digits = F.concat(*[F.hex(part(b, offset + i, 1)) for i in reversed(range(n))])
-    value = F.conv(digits, 16, 10).cast("bigint" if n < 8 else "decimal(20,0)")
+    value = number_of(latin(part(b, offset, n)), 0, n).cast("bigint" if n < 8 else "decimal(20,0)")
     return F.when(F.octet_length(b) >= offset + n, value)
 
 
 def write_le(value: Column, n: int) -> Column:
     """The low n bytes of a bigint."""
-    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(value.cast("bigint"), 8 * i).bitwiseAND(255)), 2, "0")) for i in range(n)])
+    value = value.cast("bigint")
+    return F.encode(F.concat(*[F.char(F.shiftright(value, 8 * i).bitwiseAND(255)) for i in range(n)]), "ISO-8859-1")
 
 
 def byte_at(b: Column, offset: Column | int) -> Column:
@@ -46,7 +58,7 @@ def byte_at(b: Column, offset: Column | int) -> Column:
 
 
 def high_bit(value: Column, bits: int = 63) -> Column:
-    """The position of the highest set bit of a positive bigint; null below 1. A binary search, without floating point."""
+    """The position of the highest set bit of a positive bigint; null below 1. Without floating point."""
     value = value.cast("bigint")
     return F.when(value > 0, F.length(F.bin(value)) - 1)
 

@@ -1,14 +1,17 @@
 """Frames of RFC 8878 as built-in expressions: detection, headers, skippable frames, blocks and a writer of raw blocks.
 
-None of this needs a codec, so filters on headers run inside whole-stage code generation and below any decoding step.
+None of this needs a codec, and all but raw_frame is plain expressions without lambda variables, so projections and filters on headers run inside whole-stage code generation and
+below any decoding step. A frame that is itself a long expression should be a column of its own first (functions.bytes.materialized).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framequarry.functions.bytes import byte_at, first_true, high_bit, let, part, read_le, write_le
+from framequarry.functions.bytes import byte_of, first_true, high_bit, latin, number_of, part, read_le, write_le
 
 # Fixed values of the format.
 MAGIC = 0xFD2FB528
@@ -60,121 +63,130 @@ def is_frame(b: Column) -> Column:
     return detect_frame(b) != "unknown"
 
 
-_NOTHING = ",".join(f"cast(null as {f.split(':', 1)[1]}) as {f.split(':', 1)[0]}" for f in HEADER_TYPE[7:-1].replace("(20,0)", "(20;0)").split(",")[:-1]).replace(";", ",")
+#: The longest header, and one byte that tells whether more follows.
+HEAD = 18
 
 
-def frame_header(b: Column) -> Column:
-    """HEADER_TYPE of the frame at the start of b. Fields are null where the header can't be read; error_name says why."""
-    first = lambda b: F.struct(F.octet_length(b).alias("n"), magic(b).alias("m"), byte_at(b, 4).alias("fhd"), byte_at(b, 5).alias("wl"))
-    return let(b, lambda b: let(first(b), lambda f: let(_field_sizes(f), lambda g: _header(b, f, g))))
+@dataclass(frozen=True)
+class _Fields:
+    """The parts of a header as expressions over its first bytes; those of a regular frame hold only if error is null."""
 
+    skippable: Column
+    single: Column
+    size: Column
+    window: Column
+    dict_id: Column
+    checksum: Column
+    content: Column
+    error: Column
 
-def _field_sizes(f: Column) -> Column:
-    """Widths of the id and content size fields, and where they begin."""
-    single = f["fhd"].bitwiseAND(32) != 0
-    did = first_true(*[(f["fhd"].bitwiseAND(3) == k, F.lit(v)) for k, v in enumerate((0, 1, 2, 4))])
-    code = F.shiftright(f["fhd"], 6)
-    fcs = F.when((code == 0) & single, 1).otherwise(first_true(*[(code == k, F.lit(v)) for k, v in enumerate((0, 2, 4, 8))]))
-    at = F.when(single, 5).otherwise(6)
-    return F.struct(single.alias("single"), did.alias("did"), fcs.alias("fcs"), at.alias("did_at"), (at + did).alias("fcs_at"), (at + did + fcs).alias("size"))
+
+def _big(c: Column) -> Column:
+    return c.cast("decimal(20,0)")
 
 
-def _header(b: Column, f: Column, g: Column) -> Column:
-    n, m = f["n"], f["m"]
-    window_log = F.shiftright(f["wl"], 3) + WINDOW_LOG_MIN
-    base = F.pow(F.lit(2), window_log).cast("bigint")
-    window = base + F.floor(base / 8).cast("bigint") * f["wl"].bitwiseAND(7)
-    dict_id = first_true(*[(g["did"] == k, F.lit(0).cast("bigint") if not k else read_le(b, g["did_at"], k)) for k in (0, 1, 2, 4)])
-    big = lambda c: c.cast("decimal(20,0)")
+def _fields(b: Column) -> _Fields:
+    head, n = latin(part(b, 0, HEAD)), F.octet_length(b)
+    m, flags, wl = number_of(head, 0, 4), byte_of(head, 4), byte_of(head, 5)
+    single = flags.bitwiseAND(32) != 0
+    id_size = F.element_at(F.array(*map(F.lit, (0, 1, 2, 4))), flags.bitwiseAND(3).cast("int") + 1)
+    code = F.shiftright(flags, 6)
+    at = F.when(single, 5).otherwise(6)
+    content_at = at + id_size
+    content_size = F.when((code == 0) & single, 1).otherwise(F.element_at(F.array(*map(F.lit, (0, 2, 4, 8))), code.cast("int") + 1))
+    kinds = flags.bitwiseAND(3)
+    dict_id = first_true((kinds == 0, F.lit(0).cast("bigint")), (kinds == 1, byte_of(head, at)), (kinds == 2, number_of(head, at, 2)), default=number_of(head, at, 4))
     content = first_true(
-        (g["fcs"] == 1, big(read_le(b, g["fcs_at"], 1))), (g["fcs"] == 2, big(read_le(b, g["fcs_at"], 2) + 256)), (g["fcs"] == 4, big(read_le(b, g["fcs_at"], 4))), (g["fcs"] == 8, read_le(b, g["fcs_at"], 8))
+        (code == 3, number_of(head, content_at, 8)), (code == 2, _big(number_of(head, content_at, 4))), (code == 1, _big(number_of(head, content_at, 2) + 256)), (single, _big(byte_of(head, content_at)))
     )
-    skippable = is_skippable_magic(m)
+    log = F.shiftright(wl, 3) + WINDOW_LOG_MIN
+    base = F.call_function("shiftleft", F.lit(1).cast("bigint"), log.cast("int"))
+    window = base + F.shiftright(base, 3) * wl.bitwiseAND(7)
+    skippable = m.bitwiseAND(SKIPPABLE_MASK) == MAGIC_SKIPPABLE
+    size = content_at + content_size
     error = first_true(
         (n.isNull() | (n < 4), F.lit("PrefixUnknown")),
         (skippable, F.when(n < 8, "SrcSizeWrong")),
         (m != MAGIC, F.lit("PrefixUnknown")),
         (n < 5, F.lit("SrcSizeWrong")),
-        (f["fhd"].bitwiseAND(8) != 0, F.lit("FrameParameterUnsupported")),
-        (~g["single"] & (n <= 5), F.lit("SrcSizeWrong")),
-        (~g["single"] & (window_log > WINDOW_LOG_MAX), F.lit("WindowTooLarge")),
-        (n < g["size"], F.lit("SrcSizeWrong")),
+        (flags.bitwiseAND(8) != 0, F.lit("FrameParameterUnsupported")),
+        (~single & (n <= 5), F.lit("SrcSizeWrong")),
+        (~single & (log > WINDOW_LOG_MAX), F.lit("WindowTooLarge")),
+        (n < size, F.lit("SrcSizeWrong")),
     )
+    ids = F.when(skippable, m.bitwiseAND(15)).otherwise(dict_id)
+    contents = F.when(skippable, _big(number_of(head, 4, 4))).otherwise(content)
+    windows = F.when(skippable, _big(F.lit(0))).when(single, content).otherwise(_big(window))
+    return _Fields(skippable, single, F.when(skippable, 8).otherwise(size), windows, ids, ~skippable & (flags.bitwiseAND(4) != 0), contents, error)
 
-    def regular(content: Column) -> Column:
-        size = F.when(g["single"], content).otherwise(big(window))
-        return F.struct(
-            F.lit("regular").alias("frame_type"),
-            g["size"].cast("bigint").alias("header_size"),
-            size.alias("window_size"),
-            F.least(size, big(F.lit(BLOCK_MAX))).cast("bigint").alias("block_size_max"),
-            dict_id.alias("dict_id"),
-            (f["fhd"].bitwiseAND(4) != 0).alias("checksum_flag"),
-            content.alias("content_size"),
-            F.lit(None).cast("string").alias("error_name"),
-        )
-
-    skip = F.struct(
-        F.lit("skippable").alias("frame_type"),
-        F.lit(8).cast("bigint").alias("header_size"),
-        big(F.lit(0)).alias("window_size"),
-        F.lit(0).cast("bigint").alias("block_size_max"),
-        m.bitwiseAND(15).alias("dict_id"),
-        F.lit(False).alias("checksum_flag"),
-        big(read_le(b, 4, 4)).alias("content_size"),
-        F.lit(None).cast("string").alias("error_name"),
-    )
 
-    def chosen(error: Column) -> Column:
-        failed = F.struct(*[F.expr(x) for x in _NOTHING.split(",cast")[:1]], *[F.expr("cast" + x) for x in _NOTHING.split(",cast")[1:]], error.alias("error_name"))
-        return F.when(error.isNotNull(), failed.cast(HEADER_TYPE)).when(skippable, skip.cast(HEADER_TYPE)).otherwise(let(content, regular).cast(HEADER_TYPE))
+def frame_header(b: Column) -> Column:
+    """HEADER_TYPE of the frame at the start of b. Fields are null where the header can't be read; error_name says why."""
+    f = _fields(b)
+    ok = f.error.isNull()
+    return F.struct(
+        F.when(ok, F.when(f.skippable, "skippable").otherwise("regular")).alias("frame_type"),
+        F.when(ok, f.size).cast("bigint").alias("header_size"),
+        F.when(ok, f.window).alias("window_size"),
+        F.when(ok, F.least(f.window, _big(F.lit(BLOCK_MAX)))).cast("bigint").alias("block_size_max"),
+        F.when(ok, f.dict_id).cast("bigint").alias("dict_id"),
+        F.when(ok, f.checksum).alias("checksum_flag"),
+        F.when(ok, f.content).alias("content_size"),
+        f.error.alias("error_name"),
+    ).cast(HEADER_TYPE)
+
+
+def frame_header_at(b: Column, offset: Column | int) -> Column:
+    """frame_header of the frame at an offset of a buffer."""
+    return frame_header(part(b, offset, HEAD))
+
 
-    return let(error, chosen)
+def within_window(b: Column, max_window: Column | int) -> Column:
+    """Whether the header at the start of b can be read and asks for no more than max_window bytes: a condition that filters can use below any decoder."""
+    f = _fields(b)
+    return f.error.isNull() & (f.window <= max_window)
 
 
 def frame_content_size(b: Column) -> Column:
     """The declared size: 0 for skippable frames, the sentinels where it is unknown or the header is broken."""
     big = lambda x: F.lit(str(x)).cast("decimal(20,0)")
-    return let(
-        frame_header(b),
-        lambda h: F.when(h["error_name"].isNotNull(), big(CONTENT_ERROR)).when(h["frame_type"] == "skippable", big(0)).otherwise(F.coalesce(h["content_size"], big(CONTENT_UNKNOWN))),
-    )
+    f = _fields(b)
+    return F.when(f.error.isNotNull(), big(CONTENT_ERROR)).when(f.skippable, big(0)).otherwise(F.coalesce(f.content, big(CONTENT_UNKNOWN)))
 
 
 def frame_window_size(b: Column) -> Column:
-    return F.coalesce(frame_header(b)["window_size"], F.lit(0).cast("decimal(20,0)"))
+    """0 where the header is broken, and for skippable frames."""
+    f = _fields(b)
+    return F.when(f.error.isNull(), f.window).otherwise(_big(F.lit(0)))
 
 
 def dictionary_id(b: Column) -> Column:
     """0 where absent, broken or skippable."""
-    return let(frame_header(b), lambda h: F.when(h["frame_type"] == "regular", h["dict_id"]).otherwise(F.lit(0).cast("bigint")))
+    f = _fields(b)
+    return F.when(f.error.isNull() & ~f.skippable, f.dict_id).otherwise(F.lit(0).cast("bigint"))
 
 
-def write_frame_header(content_size: Column | None, window_size: Column, dict_id: Column, checksum: Column, single_segment: Column) -> Column:
-    """Header bytes; the window is rounded down to a power of two (its mantissa is always 0)."""
-    given = F.struct(
-        (F.lit(None) if content_size is None else content_size).cast("bigint").alias("cs"),
-        window_size.cast("bigint").alias("window"),
-        dict_id.cast("bigint").alias("did"),
-        checksum.alias("checksum"),
-        single_segment.alias("single"),
-    )
-    return let(given, _header_bytes)
+def written_header_size(content_size: Column | None, dict_id: Column, single: Column) -> Column:
+    """The bytes that write_frame_header gives."""
+    cs = (F.lit(None) if content_size is None else content_size).cast("bigint")
+    ids = first_true((dict_id == 0, F.lit(0)), (dict_id < 256, F.lit(1)), (dict_id < 65536, F.lit(2)), default=F.lit(4))
+    sizes = first_true((cs.isNull(), F.lit(0)), (single & (cs < 256), F.lit(1)), ((cs >= 256) & (cs < 65792), F.lit(2)), (cs < 2**32, F.lit(4)), default=F.lit(8))
+    return F.lit(5) + F.when(single, 0).otherwise(1) + ids + sizes
 
 
-def _header_bytes(g: Column) -> Column:
-    cs, did, single, none = g["cs"], g["did"], g["single"], F.unhex(F.lit(""))
+def write_frame_header(content_size: Column | None, window_size: Column, dict_id: Column, checksum: Column, single_segment: Column) -> Column:
+    """Header bytes; the window is rounded down to a power of two (its mantissa is always 0)."""
+    cs, did, single, none = (F.lit(None) if content_size is None else content_size).cast("bigint"), dict_id.cast("bigint"), single_segment, F.unhex(F.lit(""))
     did_code = first_true((did == 0, F.lit(0)), (did < 256, F.lit(1)), (did < 65536, F.lit(2)), default=F.lit(3))
     fcs_code = first_true((cs.isNull(), F.lit(0)), (single & (cs < 256), F.lit(0)), ((cs >= 256) & (cs < 65792), F.lit(1)), (cs < 2**32, F.lit(2)), default=F.lit(3))
-    fhd = did_code + F.when(g["checksum"], 4).otherwise(0) + F.when(single, 32).otherwise(0) + fcs_code * 64
-    log = F.greatest(F.lit(WINDOW_LOG_MIN), F.least(F.lit(WINDOW_LOG_MAX), high_bit(F.when(g["window"] == 0, 1 << WINDOW_LOG_DEFAULT).otherwise(g["window"]))))
+    flags = did_code + F.when(checksum, 4).otherwise(0) + F.when(single, 32).otherwise(0) + fcs_code * 64
+    log = F.greatest(F.lit(WINDOW_LOG_MIN), F.least(F.lit(WINDOW_LOG_MAX), high_bit(F.when(window_size == 0, 1 << WINDOW_LOG_DEFAULT).otherwise(window_size))))
     window = F.when(single, none).otherwise(write_le((log - WINDOW_LOG_MIN) * 8, 1))
     id_bytes = first_true((did == 0, none), (did < 256, write_le(did, 1)), (did < 65536, write_le(did, 2)), default=write_le(did, 4))
-
-    def size_bytes(code: Column) -> Column:
-        return first_true((cs.isNull() | ((code == 0) & ~single), none), (code == 0, write_le(cs, 1)), (code == 1, write_le(cs - 256, 2)), (code == 2, write_le(cs, 4)), default=write_le(cs, 8))
-
-    return F.concat(F.unhex(F.lit("28B52FFD")), let(fhd, lambda x: write_le(x, 1)), window, id_bytes, let(fcs_code, size_bytes))
+    size_bytes = first_true(
+        (cs.isNull(), none), (single & (cs < 256), write_le(cs, 1)), ((cs >= 256) & (cs < 65792), write_le(cs - 256, 2)), (cs < 2**32, write_le(cs, 4)), default=write_le(cs, 8)
+    )
+    return F.concat(F.unhex(F.lit("28B52FFD")), write_le(flags, 1), window, id_bytes, size_bytes)
 
 
 def write_skippable_frame(data: Column, variant: Column) -> Column:
@@ -183,12 +195,14 @@ def write_skippable_frame(data: Column, variant: Column) -> Column:
 
 def skippable_frame_size(b: Column) -> Column:
     """Total bytes of the skippable frame at the start; null if it is none or cut off."""
-    return let(b, lambda b: let(read_le(b, 4, 4) + 8, lambda total: F.when(is_skippable_frame(b) & (total <= F.octet_length(b)), total)))
+    total = read_le(b, 4, 4) + 8
+    return F.when(is_skippable_frame(b) & (total <= F.octet_length(b)), total)
 
 
 def read_skippable_frame(b: Column) -> Column:
     """Its payload; null if it is none or cut off."""
-    return let(b, lambda b: let(skippable_frame_size(b), lambda total: F.when(total.isNotNull(), part(b, 8, total - 8))))
+    total = skippable_frame_size(b)
+    return F.when(total.isNotNull(), part(b, 8, total - 8))
 
 
 def block_header(b: Column, offset: Column | int = 0) -> Column:
@@ -219,14 +233,21 @@ def compress_bound(n: Column) -> Column:
 
 
 def raw_frame(data: Column) -> Column:
-    """A frame of raw blocks of at most 128 KiB, with its content size: a valid minimal encoder without a codec."""
+    """A frame of raw blocks of at most 128 KiB, with its content size: a valid minimal encoder without a codec. Content of one block, as most is, is only put behind its headers."""
+    n = F.octet_length(data)
+    blocks = F.ceil(n / F.lit(BLOCK_MAX)).cast("int")
+    block = lambda i: F.concat(write_block_header(F.lit("raw"), i == blocks - 1, F.least(F.lit(BLOCK_MAX), n - i * BLOCK_MAX)), part(data, i * BLOCK_MAX, BLOCK_MAX))
+    head = write_frame_header(n, F.greatest(n.cast("bigint"), F.lit(1024)), F.lit(0), F.lit(False), n < 256 * 1024)
+    # binary has no array join: hex digits are joined instead
+    many = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.hex(block(i))), ""))
+    return F.concat(head, F.when(n <= BLOCK_MAX, F.concat(write_block_header(F.lit("raw"), F.lit(True), n), data)).otherwise(many))
+
+
+# Versions and limits of the format and this library, as literals.
+VERSION, VERSION_NUMBER = "1.0.0", 10000
+FORMAT_VERSION, FORMAT_VERSION_NUMBER = "1.6.0", 10600
 
-    def made(data: Column) -> Column:
-        n = F.octet_length(data)
-        blocks = F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_MAX))).cast("int")
-        block = lambda i: F.concat(write_block_header(F.lit("raw"), i == blocks - 1, F.least(F.lit(BLOCK_MAX), n - i * BLOCK_MAX)), part(data, i * BLOCK_MAX, BLOCK_MAX))
-        head = write_frame_header(n, F.greatest(n.cast("bigint"), F.lit(1024)), F.lit(0), F.lit(False), n < 256 * 1024)
-        # binary has no array join: hex digits are joined instead
-        return F.concat(head, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.hex(block(i))), "")))
 
-    return let(data, made)
+def supports_decode(version: Column) -> Column:
+    """Whether frames of a historic version can be decoded: all seven can."""
+    return F.coalesce(version.between(1, 7), F.lit(False))

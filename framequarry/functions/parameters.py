@@ -7,11 +7,12 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.functions.bytes import first_true, high_bit, let
-from framequarry.functions.frames import BLOCK_MAX, WINDOW_LOG_MAX, compress_bound, write_frame_header
+from framequarry.functions.bytes import first_true, high_bit
+from framequarry.functions.frames import BLOCK_MAX, WINDOW_LOG_MAX, compress_bound, written_header_size
 
 # Fixed values.
 STRATEGIES = ("fast", "dfast", "greedy", "lazy", "lazy2", "btlazy2", "btopt", "btultra", "btultra2")
+STRATEGY_BOUNDS = (1, 3, 5, 7, 9, 12, 15, 18)
 LEVEL_MIN, LEVEL_MAX, LEVEL_DEFAULT = -131072, 22, 3
 SIZE_CLASSES = (256 << 10, 128 << 10, 16 << 10)
 LDM_WINDOW_LOG = 20
@@ -69,8 +70,7 @@ def with_level_parameters(df: DataFrame, level: str, size: str) -> DataFrame:
 
 
 def strategy_from_level(level: Column) -> Column:
-    bounds = (1, 3, 5, 7, 9, 12, 15, 18)
-    return first_true(*[(level <= b, F.lit(s)) for b, s in zip(bounds, STRATEGIES, strict=False)], default=F.lit(STRATEGIES[-1]))
+    return first_true(*[(level <= b, F.lit(s)) for b, s in zip(STRATEGY_BOUNDS, STRATEGIES, strict=False)], default=F.lit(STRATEGIES[-1]))
 
 
 def overlap_log(strategy: Column) -> Column:
@@ -84,54 +84,72 @@ def search_settings(strategy: Column) -> Column:
     return F.struct(finder.alias("finder"), steps.alias("lazy_steps"))
 
 
-def plan_frame(n: Column, window_log: Column, ldm: Column, dict_id: Column) -> Column:
-    """What a frame of n bytes declares: struct<single_segment, window_size, dict_id, history_limit, search_window>. window_log 0: from the size."""
-    n = n.cast("bigint")
-    declared = F.when(window_log != 0, F.pow(F.lit(2), window_log).cast("bigint")).otherwise(F.greatest(n, F.lit(1024)))
-    single = (declared >= n) & (n < 256 * 1024)
-    floor = F.when(single, 1024).when(ldm, 1 << LDM_WINDOW_LOG).otherwise(0)
-    window = F.greatest(declared, floor)
-    log = lambda w: F.least(F.lit(WINDOW_LOG_MAX), high_bit(w))
-    history = F.least(F.pow(F.lit(2), log(window)).cast("bigint"), F.lit(HISTORY_MAX))
-    reach = log(F.greatest(window, F.lit(1024)))
-    return F.struct(
-        single.alias("single_segment"),
-        window.alias("window_size"),
-        dict_id.cast("bigint").alias("dict_id"),
-        history.alias("history_limit"),
-        F.when(reach < 31, F.pow(F.lit(2), reach).cast("bigint")).otherwise(F.lit(2**32 - 1)).alias("search_window"),
-    )
+def _two_to(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
 
 
-def compute_split(n: Column, threads: Column, strategy: Column, plan: Column, checksum: Column, ldm: Column, job_min: int = JOB_MIN) -> Column:
-    """struct<num_jobs, job_size, overlap, needed>: how n bytes are divided among parallel jobs, and the room their frame can need."""
-    n = n.cast("bigint")
-    up = lambda a, b: F.floor((a + b - 1) / b).cast("bigint")
-    no_more = lambda jobs: F.when(jobs > n, F.greatest(n, F.lit(1))).otherwise(jobs)
-    jobs = F.least(F.when(n == 0, 1).otherwise(up(n, F.lit(max(job_min, 1)))), F.greatest(threads, F.lit(1)) * JOBS_PER_WORKER)
+def _steps(df: DataFrame, name: str, *steps: dict[str, Column]) -> DataFrame:
+    """df with the struct of the last step's columns. Each step is a projection over the columns of those before it, so what is used often is made once, in generated code."""
+    out = df
+    for step in steps[:-1]:
+        out = out.withColumns(step)
+    return out.withColumn(name, F.struct(*[c.alias(k) for k, c in steps[-1].items()])).select(*[c for c in df.columns if c != name], name)
 
-    def overlap_of(jobs: Column, size: Column, log: Column) -> Column:
-        base = F.when(ldm, F.least(log, F.greatest(high_bit(size) - 2, F.lit(0)))).otherwise(log)
-        return F.when(jobs > 1, F.pow(F.lit(2), F.least(F.greatest(base - (9 - overlap_log(strategy)), F.lit(0)), log)).cast("bigint")).otherwise(0).cast("bigint")
 
-    def done(jobs: Column, size: Column, overlap: Column) -> Column:
-        head = F.octet_length(write_frame_header(n, plan["window_size"], plan["dict_id"], checksum, plan["single_segment"]))
-        slots = (jobs - 1) * compress_bound(size) + compress_bound(n - (jobs - 1) * size)
-        return F.struct(jobs.alias("num_jobs"), size.alias("job_size"), overlap.alias("overlap"), (head + slots + 4).alias("needed"))
+def with_frame_plan(df: DataFrame, n: Column, window_log: Column, ldm: Column, dict_id: Column, name: str = "plan") -> DataFrame:
+    """df with what a frame of n bytes declares: struct<single_segment, window_size, dict_id, history_limit, search_window>. window_log 0: from the size."""
+    c = F.col
+    return _steps(
+        df,
+        name,
+        {"fp_n": n.cast("bigint"), "fp_ldm": ldm},
+        {"fp_declared": F.when(window_log != 0, _two_to(window_log)).otherwise(F.greatest("fp_n", F.lit(1024)))},
+        {"fp_single": (c("fp_declared") >= c("fp_n")) & (c("fp_n") < 256 * 1024)},
+        {"fp_window": F.greatest(c("fp_declared"), F.when(c("fp_single"), 1024).when(c("fp_ldm"), 1 << LDM_WINDOW_LOG).otherwise(0)).cast("bigint")},
+        {"fp_log": F.least(F.lit(WINDOW_LOG_MAX), high_bit(c("fp_window")))},
+        {
+            "single_segment": c("fp_single"),
+            "window_size": c("fp_window"),
+            "dict_id": dict_id.cast("bigint"),
+            "history_limit": F.least(_two_to(c("fp_log")), F.lit(HISTORY_MAX)).cast("bigint"),
+            "search_window": F.when(c("fp_window") < 1024, F.lit(1024).cast("bigint")).when(c("fp_log") < 31, _two_to(c("fp_log"))).otherwise(F.lit(2**32 - 1)),
+        },
+    )
 
-    def grown(jobs: Column, size: Column, overlap: Column) -> Column:
-        """Jobs are at least as long as their overlap, which may leave fewer of them."""
-        longer = F.when(jobs > 1, F.greatest(size, overlap)).otherwise(n)
-        fewer = lambda at_least: F.when(jobs > 1, F.when(size < overlap, up(n, at_least)).otherwise(jobs)).otherwise(1)
-        return let(longer, lambda size2: let(no_more(fewer(size2)).cast("bigint"), lambda jobs2: done(jobs2, size2, overlap)))
 
-    def sized(jobs: Column) -> Column:
-        return let(
-            F.when(jobs <= 1, n).otherwise(up(n, jobs)),
-            lambda size: let(high_bit(plan["history_limit"]), lambda log: let(overlap_of(jobs, size, log), lambda overlap: grown(jobs, size, overlap))),
-        )
+def with_job_split(
+    df: DataFrame, n: Column, threads: Column, strategy: Column, plan: str, ldm: Column, name: str = "split", job_min: int = JOB_MIN
+) -> DataFrame:
+    """df with how n bytes are divided among parallel jobs, and the room their frame can need: struct<num_jobs, job_size, overlap, needed>. plan: a column of with_frame_plan.
 
-    return let(no_more(jobs).cast("bigint"), sized)
+    There are two jobs for each thread at most, none smaller than job_min. A job sees an overlap of the bytes before its own: a share of the history that the strategy sets. Jobs are
+    at least as long as their overlap, which may leave fewer of them.
+    """
+    c = F.col
+    up = lambda a, b: F.floor((a + b - 1) / b).cast("bigint")
+    share = F.greatest(c("js_log") - (9 - overlap_log(strategy)), F.lit(0))
+    with_ldm = F.greatest(F.least(c("js_log"), F.greatest(high_bit(c("js_even")) - 2, F.lit(0))) - (9 - overlap_log(strategy)), F.lit(0))
+    return _steps(
+        df,
+        name,
+        {"js_n": n.cast("bigint"), "js_log": high_bit(c(plan)["history_limit"]), "js_most": F.greatest(threads, F.lit(1)) * JOBS_PER_WORKER},
+        {"js_wanted": F.least(F.greatest(up(c("js_n"), F.lit(max(job_min, 1))), F.lit(1)), c("js_most"), F.greatest("js_n", F.lit(1))).cast("bigint")},
+        {"js_even": F.when(c("js_wanted") <= 1, c("js_n")).otherwise(up(c("js_n"), c("js_wanted")))},
+        {"js_overlap": F.when(c("js_wanted") > 1, _two_to(F.least(F.when(ldm, with_ldm).otherwise(share), c("js_log")))).otherwise(0).cast("bigint")},
+        {
+            "js_size": F.when(c("js_wanted") > 1, F.greatest("js_even", "js_overlap")).otherwise(c("js_n")),
+            "js_jobs": F.when((c("js_wanted") > 1) & (c("js_even") < c("js_overlap")), up(c("js_n"), c("js_overlap"))).otherwise(c("js_wanted")).cast("bigint"),
+        },
+        {
+            "num_jobs": c("js_jobs"),
+            "job_size": c("js_size"),
+            "overlap": c("js_overlap"),
+            "needed": written_header_size(c("js_n"), c(plan)["dict_id"], c(plan)["single_segment"])
+            + (c("js_jobs") - 1) * compress_bound(c("js_size"))
+            + compress_bound(c("js_n") - (c("js_jobs") - 1) * c("js_size"))
+            + 4,
+        },
+    )
 
 
 def adjust_ldm(window_log: Column, strategy_no: Column, hash_log: Column) -> Column:
@@ -149,7 +167,7 @@ def adjust_ldm(window_log: Column, strategy_no: Column, hash_log: Column) -> Col
 
 def ldm_table_size(hash_log: Column, bucket_size_log: Column) -> Column:
     """Bytes of the table: 8 an entry, and one for each bucket."""
-    return (F.pow(F.lit(2), hash_log) * 8 + F.pow(F.lit(2), hash_log - F.least(bucket_size_log, hash_log))).cast("bigint")
+    return _two_to(hash_log) * 8 + _two_to(hash_log - F.least(bucket_size_log, hash_log))
 
 
 def _code(value: Column, bases: tuple[int, ...]) -> Column:
@@ -172,7 +190,7 @@ def offset_code(distance: Column) -> Column:
 
 def window_limit(window_log: Column) -> Column:
     """The largest distance; none for 0 and from 31 on."""
-    return F.when((window_log > 0) & (window_log < 31), F.pow(F.lit(2), window_log).cast("bigint"))
+    return F.when((window_log > 0) & (window_log < 31), _two_to(window_log))
 
 
 def block_count(n: Column) -> Column:

@@ -14,12 +14,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.functions.frames import CONTENT_ERROR, compress_bound, frame_header
-from framequarry.functions.parameters import STRATEGIES
+from framequarry.functions.frames import CONTENT_ERROR, WINDOW_LOG_DEFAULT, compress_bound, frame_header, within_window
+from framequarry.functions.parameters import JOB_MIN, STRATEGIES, STRATEGY_BOUNDS, with_frame_plan, with_job_split
 from framequarry.operators.decoder import decode_regular
+from framequarry.operators.encoder import BlockState, encode_blocks, encode_frame, frame_head
 from framequarry.operators.historic import decode_legacy
 from framequarry.operators.historic_writer import VERSIONS as HISTORIC_WRITTEN
 from framequarry.operators.historic_writer import encode_historic
+from framequarry.operators.prepared import Prepared, prepare
 from framequarry.operators.walk import FrameError, frame_end, legacy_of, read_blocks, read_header
 
 RESULT = "struct<data:binary,error_name:string>"
@@ -68,7 +70,11 @@ ERROR_TEXTS = {
 
 @dataclass(frozen=True)
 class CompressOptions:
-    """level 0: the default. strategy, window_log: None, 0: from the level. dictionary: raw content or a container."""
+    """level 0: the default. strategy and settings left at None or 0 come from the level. dictionary: raw content or a container; with `standard` its tables are used too.
+
+    pledged: the content's size; another one is SrcSizeWrong. workers: threads of one task that make one frame of a large buffer, with jobs of job_size and overlaps by overlap_log.
+    plain: encode in Python instead of by the library.
+    """
 
     level: int = 3
     strategy: str | None = None
@@ -77,30 +83,53 @@ class CompressOptions:
     ldm: bool = False
     content_size: bool = True
     dictionary: bytes | None = None
+    standard: bool = False
+    hash_log: int = 0
+    chain_log: int = 0
+    search_log: int = 0
+    min_match: int = 0
+    target_length: int = 0
+    workers: int = 0
+    job_size: int = 0
+    overlap_log: int = 0
+    pledged: int | None = None
+    plain: bool = False
 
 
 @dataclass(frozen=True)
 class DecompressOptions:
-    """plain: decode in Python instead of by the library, which is far slower."""
+    """plain: decode in Python instead of by the library, which is far slower. max_output: the most bytes that a buffer may give; beyond it decoding stops with DstSizeTooSmall."""
 
     max_window: int = 1 << 27
     ignore_checksum: bool = False
     dictionary: bytes | None = None
     dict_id: int = 0
     require_dictionary: bool = False
+    standard: bool = False
+    max_output: int | None = None
     plain: bool = False
 
 
 _CODECS: dict = {}
 
 
-def _dictionary(content: bytes):
-    """Dictionaries are used by their content: a container's header of 8 bytes is no part of it."""
+def _dictionary(content: bytes, standard: bool = False):
+    """A standard dictionary with its tables; else its content: a container's header of 8 bytes is no part of it."""
     import zstandard
 
-    if content[:4] == b"\x37\xa4\x30\xec":
-        content = content[8:]
-    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    if standard:
+        return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT)
+    return zstandard.ZstdCompressionDict(_content(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def _content(dictionary: bytes) -> bytes:
+    return dictionary[8:] if dictionary[:4] == b"\x37\xa4\x30\xec" else dictionary
+
+
+def _prepared(dictionary: bytes) -> Prepared:
+    if ("p", dictionary) not in _CODECS:
+        _CODECS["p", dictionary] = prepare(dictionary)
+    return _CODECS["p", dictionary]
 
 
 def compressor(o: CompressOptions):
@@ -108,22 +137,44 @@ def compressor(o: CompressOptions):
     import zstandard
 
     if o not in _CODECS:
-        more = {"write_checksum": o.checksum, "write_content_size": o.content_size, "enable_ldm": o.ldm}
-        if o.window_log:
-            more["window_log"] = o.window_log
+        more = {"write_checksum": o.checksum, "write_content_size": o.content_size, "enable_ldm": o.ldm, "threads": o.workers, "write_dict_id": o.standard}
+        more |= {k: v for k in ("window_log", "hash_log", "chain_log", "search_log", "min_match", "target_length", "job_size", "overlap_log") if (v := getattr(o, k))}
         if o.strategy:
             more["strategy"] = STRATEGIES.index(o.strategy) + 1
         params = zstandard.ZstdCompressionParameters.from_level(o.level or 3, **more)
-        _CODECS[o] = zstandard.ZstdCompressor(compression_params=params, dict_data=_dictionary(o.dictionary) if o.dictionary else None)
+        _CODECS[o] = zstandard.ZstdCompressor(compression_params=params, dict_data=_dictionary(o.dictionary, o.standard) if o.dictionary else None)
     return _CODECS[o]
 
 
-def _decompressor(dictionary: bytes | None):
+def encode(data: bytes, o: CompressOptions) -> bytes:
+    """One buffer as one frame."""
     import zstandard
 
-    if ("d", dictionary) not in _CODECS:
-        _CODECS["d", dictionary] = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary) if dictionary else None, max_window_size=1 << 31)
-    return _CODECS["d", dictionary]
+    if o.pledged is not None and o.pledged != len(data):
+        raise FrameError("SrcSizeWrong")
+    if not o.plain:
+        try:
+            return compressor(o).compress(data)
+        except (zstandard.ZstdError, ValueError) as e:
+            raise FrameError("ParameterOutOfBound") from e
+    strategy = o.strategy or plain_strategy(o.level)
+    if o.dictionary and o.standard:
+        d = _prepared(o.dictionary)
+        return encode_frame(data, strategy, o.checksum, o.window_log, o.content_size, d.content, d.dict_id, d.for_encoding())
+    return encode_frame(data, strategy, o.checksum, o.window_log, o.content_size, _content(o.dictionary or b""))
+
+
+def plain_strategy(level: int) -> str:
+    """The plain encoder's strategy for a level."""
+    return next((s for top, s in zip(STRATEGY_BOUNDS, STRATEGIES, strict=False) if (level or 3) <= top), STRATEGIES[-1])
+
+
+def _decompressor(dictionary: bytes | None, standard: bool = False):
+    import zstandard
+
+    if ("d", dictionary, standard) not in _CODECS:
+        _CODECS["d", dictionary, standard] = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary, standard) if dictionary else None, max_window_size=1 << 31)
+    return _CODECS["d", dictionary, standard]
 
 
 def _without_checksum(frame: bytes) -> bytes:
@@ -131,30 +182,40 @@ def _without_checksum(frame: bytes) -> bytes:
     return frame[:4] + bytes([frame[4] & ~4]) + frame[5:-4] if h.checksum else frame
 
 
-def decode_frame(frame: bytes, o: DecompressOptions) -> bytes:
-    """One whole regular frame."""
+def decode_frame(frame: bytes, o: DecompressOptions, room: int | None = None) -> bytes:
+    """One whole regular frame. room: the most bytes it may give; no more than that is ever held."""
     import zstandard
 
     h = read_header(frame)
     if h.window > o.max_window:
         raise FrameError("WindowTooLarge")
-    if h.dict_id and o.dictionary and h.dict_id != o.dict_id:
+    known = o.dict_id or (_prepared(o.dictionary).dict_id if o.standard and o.dictionary else 0)
+    if h.dict_id and o.dictionary and h.dict_id != known:
         raise FrameError("DictionaryWrong")
+    if room is not None and h.content is not None and h.content > room:
+        raise FrameError("DstSizeTooSmall")
     if o.plain:
-        content = o.dictionary or b""
-        return decode_regular(_without_checksum(frame) if o.ignore_checksum else frame, content[8:] if content[:4] == b"\x37\xa4\x30\xec" else content)
+        frame = _without_checksum(frame) if o.ignore_checksum else frame
+        if o.dictionary and o.standard:
+            return decode_regular(frame, _prepared(o.dictionary).content, room, _prepared(o.dictionary).for_decoding())
+        return decode_regular(frame, _content(o.dictionary or b""), room)
     body = _without_checksum(frame)
-    if h.dict_id:  # raw content has no id to compare with
+    if h.dict_id and not o.standard:  # raw content has no id to compare with
         at = 5 + (0 if frame[4] & 32 else 1)
         n = (0, 1, 2, 4)[frame[4] & 3]
         body = body[:4] + bytes([body[4] & ~3]) + body[5:at] + body[at + n :]
     try:
-        reader = _decompressor(o.dictionary).decompressobj()
-        out = reader.decompress(body)
+        decoder = _decompressor(o.dictionary, o.standard)
+        if room is None:
+            out = decoder.decompressobj().decompress(body)
+        else:
+            out = decoder.stream_reader(body).read(room + 1)
     except zstandard.ZstdError as e:
-        raise FrameError(_error_of(str(e))) from e
+        raise FrameError(_exact_error(frame, o, _error_of(str(e)))) from e
     except MemoryError as e:
         raise FrameError("OutOfMemory") from e
+    if room is not None and len(out) > room:
+        raise FrameError("DstSizeTooSmall")
     if h.content is not None and len(out) != h.content:
         raise FrameError("ContentSizeMismatch")
     if h.checksum and not o.ignore_checksum and xxhash.xxh64_intdigest(out) & 0xFFFFFFFF != int.from_bytes(frame[-4:], "little"):
@@ -162,6 +223,17 @@ def decode_frame(frame: bytes, o: DecompressOptions) -> bytes:
     return out
 
 
+def _exact_error(frame: bytes, o: DecompressOptions, name: str) -> str:
+    """What the decoder in Python makes of a frame that the library calls corrupt, as the library has one name for most errors."""
+    if name != "Corruption":
+        return name
+    try:
+        decode_frame(frame, replace(o, plain=True), read_header(frame).content)
+    except FrameError as e:
+        return "ContentSizeMismatch" if str(e) == "DstSizeTooSmall" else str(e)
+    return name
+
+
 def _error_of(message: str) -> str:
     m = message.lower()
     if "dictionary mismatch" in m:
@@ -177,21 +249,23 @@ def _error_of(message: str) -> str:
     return "Corruption"
 
 
-def decode_all(b: bytes, o: DecompressOptions) -> bytes:
-    """All frames of a buffer, one after the other; skippable ones give nothing. An empty buffer is empty."""
+def decode_all(b: bytes, o: DecompressOptions, room: int | None = None) -> bytes:
+    """All frames of a buffer, one after the other; skippable ones give nothing. An empty buffer is empty. room: the most bytes that all may give (default: max_output)."""
     if o.require_dictionary and not o.dictionary and b:
         raise FrameError("DictionaryWrong")
+    room = o.max_output if room is None else room
     out, at = [], 0
     while at < len(b):
         if at + 4 > len(b):
             raise FrameError("SrcSizeWrong")
+        left = None if room is None else room - sum(map(len, out))
         if legacy_of(b, at):
-            data, at = decode_legacy(b, at)
+            data, at = decode_legacy(b, at, left)
             out.append(data)
             continue
         h, end = frame_end(b, at)
         if h.kind == "regular":
-            out.append(decode_frame(b[at:end], o))
+            out.append(decode_frame(b[at:end], o, left))
         at = end
     return b"".join(out)
 
@@ -211,9 +285,8 @@ def compress(b: Column | str, options: CompressOptions | None = None) -> Column:
 
     @F.pandas_udf(RESULT)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = compressor(o)
         for s in parts:
-            yield pd.DataFrame([_tried(c.compress, x) for x in s], columns=["data", "error_name"])
+            yield pd.DataFrame([_tried(lambda x: encode(x, o), x) for x in s], columns=["data", "error_name"])
 
     return run(b)
 
@@ -269,11 +342,16 @@ def compress_into(b: Column, room: Column, options: CompressOptions | None = Non
     return F.when(fits, compress(F.when(fits, b), options)).otherwise(none)
 
 
-def decompress_into(b: Column, room: Column, options: DecompressOptions | None = None) -> Column:
-    """Decoding into a buffer of `room` bytes."""
-    r = decompress(b, options)
-    none = F.struct(F.lit(None).cast("binary").alias("data"), F.lit("DstSizeTooSmall").alias("error_name"))
-    return F.when(F.octet_length(r["data"]) > room, none).otherwise(r)
+def decompress_into(b: Column | str, room: Column, options: DecompressOptions | None = None) -> Column:
+    """Decoding into a buffer of `room` bytes: the decoder stops there, however much the frames would give."""
+    o = options or DecompressOptions()
+
+    @F.pandas_udf(RESULT)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for s, most in parts:
+            yield pd.DataFrame([_tried(lambda x: decode_all(x, o, int(n)), x) for x, n in zip(s, most, strict=True)], columns=["data", "error_name"])  # noqa: B023
+
+    return run(b, F.greatest(F.coalesce(room.cast("long"), F.lit(0)), F.lit(0)))
 
 
 def checksum(b: Column | str) -> Column:
@@ -299,6 +377,52 @@ def compress_jobs(df: DataFrame, id_col: str, payload_col: str, job_size: int, o
     return concat_frames(made, id_col, "job", "frame")
 
 
+def compress_one_frame(df: DataFrame, id_col: str, payload_col: str, threads: int, options: CompressOptions | None = None, job_min: int = JOB_MIN) -> DataFrame:
+    """One buffer as one frame whose blocks are made by parallel jobs: id_col, frame, num_jobs.
+
+    Jobs, their size and overlap are those of `with_job_split`. Each job's row carries its own part and the overlap before it, from which its matches may be copied; as it doesn't
+    know the repeats and codes of the blocks before, it uses none. The blocks are put after each other behind one header, and the checksum of all, if wanted, after them.
+    """
+    o = options or CompressOptions()
+    strategy = o.strategy or plain_strategy(o.level)
+    whole = df.select(id_col, F.col(payload_col).alias("payload_"), F.octet_length(payload_col).cast("long").alias("n_"))
+    planned = with_frame_plan(whole, F.col("n_"), F.lit(o.window_log), F.lit(o.ldm), F.lit(0), "plan_")
+    split = with_job_split(planned, F.col("n_"), F.lit(threads), F.lit(strategy), "plan_", F.lit(o.ldm), "split_", job_min)
+    jobs = split.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("split_.num_jobs") - 1)).alias("job_"))
+    at = F.col("job_") * F.col("split_.job_size")
+    before = F.least(at, F.col("split_.overlap"))
+    parts = jobs.select(
+        id_col,
+        "job_",
+        F.col("split_.num_jobs").alias("num_jobs"),
+        F.substring("payload_", (at - before + 1).cast("int"), (before + F.col("split_.job_size")).cast("int")).alias("part_"),
+        before.alias("before_"),
+        F.col("plan_.window_size").alias("window_"),
+        F.when(F.col("job_") == 0, F.col("n_")).alias("n_"),
+        F.when((F.col("job_") == F.col("split_.num_jobs") - 1) & F.lit(o.checksum), F.col("payload_")).alias("all_"),
+    )
+
+    @F.pandas_udf("binary")
+    def run(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in rows:
+            yield pd.Series([_job(*row, strategy, o) for row in zip(*columns, strict=True)], dtype=object)
+
+    made = parts.repartition(id_col, "job_").select(id_col, "job_", "num_jobs", run("job_", "num_jobs", "part_", "before_", "window_", "n_", "all_").alias("frame"))
+    packed = F.sort_array(F.collect_list(F.struct("job_", F.hex("frame").alias("x"))))
+    return made.groupBy(id_col, "num_jobs").agg(F.unhex(F.array_join(F.transform(packed, lambda s: s["x"]), "")).alias("frame"))
+
+
+def _job(job, jobs, part, before, window, n, all_, strategy: str, o: CompressOptions) -> bytes:
+    """A job's blocks; the header before the first ones, the checksum of all bytes after the last."""
+    part, before = bytes(part), int(before)
+    log = max(10, min(WINDOW_LOG_DEFAULT, (int(window) - 1).bit_length()))
+    state = BlockState() if not job else BlockState([None] * 3)
+    blocks = encode_blocks(part[before:], part[:before], job == jobs - 1, state, 1 << log, strategy)
+    head = frame_head(int(n) if o.content_size else None, log, o.checksum) if not job else b""
+    end = (xxhash.xxh64_intdigest(bytes(all_)) & 0xFFFFFFFF).to_bytes(4, "little") if all_ is not None else b""
+    return head + blocks + end
+
+
 def concat_frames(df: DataFrame, id_col: str, order_col: str, frame_col: str) -> DataFrame:
     """One buffer per id from its frames in order."""
     packed = F.sort_array(F.collect_list(F.struct(order_col, F.hex(frame_col).alias("x"))))
@@ -307,8 +431,7 @@ def concat_frames(df: DataFrame, id_col: str, order_col: str, frame_col: str) ->
 
 def guarded(df: DataFrame, frame_col: str, max_window: int) -> DataFrame:
     """Rows whose header allows decoding within a window, by a native filter that runs below any decoder."""
-    h = frame_header(F.col(frame_col))
-    return df.where(h["error_name"].isNull() & (h["window_size"] <= max_window))
+    return df.where(within_window(F.col(frame_col), max_window))
 
 
 def content_length(b: Column, decoded: Column) -> Column:

@@ -1,18 +1,20 @@
-"""Content-defined split points by a rolling gear hash, and long matches between them.
+"""Content-defined split points by a rolling gear hash, chunks that occur earlier in the corpus, and long matches inside a buffer.
 
 The hash of a position depends on the 64 bytes before it at most, so all positions of a buffer are computed at once: h[i] is the sum of table[b[i - j]] << j.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framequarry.operators.encoder import common_length
+
 # The table's step, the hash before the first byte, the window.
 PRIME = 0x9E3779B185EBCA87
 SEED = 0xFFFFFFFF
@@ -48,7 +50,7 @@ def split_points(data: bytes, rate: int = 7, min_match: int = MIN_MATCH) -> np.n
 
 
 def splits(df: DataFrame, bytes_col: str, rate: int = 7, min_match: int = MIN_MATCH) -> DataFrame:
-    """df's other columns with ord, start, end and chunk_hash (XXH64) of each content-defined chunk; the last ends with the buffer."""
+    """df's other columns with ord, start, end and chunk_hash (128 bits of BLAKE2b) of each content-defined chunk; the last ends with the buffer."""
     rest = [c for c in df.columns if c not in {bytes_col, "bytes_", "ord", "start", "end", "chunk_hash"}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,23 +65,72 @@ def splits(df: DataFrame, bytes_col: str, rate: int = 7, min_match: int = MIN_MA
                         ends.append(len(x))
                     for j, (s, e) in enumerate(zip([0, *ends], ends, strict=False)):
                         at.append(k)
-                        rows.append((j, s, e, xxhash.xxh64_intdigest(x[s:e]) - (1 << 63)))
+                        rows.append((j, s, e, hashlib.blake2b(x[s:e], digest_size=16).digest()))
                 names = [c for c in b.schema.names if c != "bytes_"]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 take = pa.array(at, pa.int64())
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c).take(take) for c in names), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*names, "ord", "start", "end", "chunk_hash"]
                 )
 
-    schema = df.select(*rest).schema.add("ord", "integer").add("start", "long").add("end", "long").add("chunk_hash", "long")
+    schema = df.select(*rest).schema.add("ord", "integer").add("start", "long").add("end", "long").add("chunk_hash", "binary")
     return df.select(*rest, F.col(bytes_col).cast("binary").alias("bytes_")).mapInArrow(run, schema)
 
 
 def repeated_chunks(chunks: DataFrame, id_col: str, min_length: int = MIN_MATCH) -> DataFrame:
-    """Chunks of at least min_length bytes whose bytes occur earlier, with first_id and first_start of the first occurrence."""
-    by_hash = Window.partitionBy("chunk_hash", F.col("end") - F.col("start"))
-    first = F.min(F.struct(id_col, "start")).over(by_hash)
-    found = chunks.where(F.col("end") - F.col("start") >= min_length).withColumn("first", first)
-    later = (F.col("first")[id_col] != F.col(id_col)) | (F.col("first.start") != F.col("start"))
-    return found.where(later).select(*chunks.columns, F.col("first")[id_col].alias("first_id"), F.col("first.start").alias("first_start"))
+    """Chunks of at least min_length bytes whose bytes occur earlier, with first_id and first_start of the first occurrence.
+
+    Equal chunks are told by length and a cryptographic hash. First occurrences come from an aggregation with map-side minima, so a chunk with a third of all rows is no hot key there;
+    the join back has one row per chunk on one side, and adaptive execution splits the other.
+    """
+    size = F.col("end") - F.col("start")
+    found = chunks.where(size >= min_length).withColumn("size_", size)
+    first = found.groupBy("chunk_hash", "size_").agg(F.min(F.struct(F.col(id_col).alias("id"), "start")).alias("first_"), F.count("*").alias("times_")).where("times_ > 1")
+    later = ~(F.col("first_.id").eqNullSafe(F.col(id_col)) & (F.col("first_.start") == F.col("start")))
+    both = found.join(first.drop("times_"), ["chunk_hash", "size_"]).where(later)
+    return both.select(*chunks.columns, F.col("first_.id").alias("first_id"), F.col("first_.start").alias("first_start"))
+
+
+def matches_of(data: bytes, window: int, rate: int = 7, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of long matches of a buffer, in order and without overlap.
+
+    Split points are candidates: the min_match bytes before one are looked up among those before earlier points no farther than the window, the latest first, and the match is
+    extended both ways: back to the end of the match before, and forward as far as the bytes are equal.
+    """
+    seen: dict[bytes, int] = {}
+    out, done = [], 0
+    for p in split_points(data, rate, min_match).tolist():
+        key = data[p - min_match : p]
+        q = seen.get(key)
+        seen[key] = p
+        if q is None or p < done or p - q > window:
+            continue
+        start, distance = p - min_match, p - q
+        if start < done:
+            start = done
+        while start > done and start - distance > 0 and data[start - 1] == data[start - 1 - distance]:
+            start -= 1
+        length = common_length(data, start - distance, start, len(data))
+        if length >= min_match:
+            out.append((start, length, distance))
+            done = start + length
+    return out
+
+
+def long_matches(df: DataFrame, bytes_col: str, window_log: int = 27, rate: int = 7, min_match: int = MIN_MATCH) -> DataFrame:
+    """df's other columns with start, length and distance of each buffer's long matches. window_log 0, or 31 and more: no limit of distance."""
+    rest = [c for c in df.columns if c not in {bytes_col, "bytes_", "start", "length", "distance"}]
+    window = 1 << window_log if 0 < window_log < 31 else 1 << 62
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                found = [(k, *m) for k, x in enumerate(b.column("bytes_").to_pylist()) for m in matches_of(x or b"", window, rate, min_match)]
+                take, *cols = (pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [()] * 4))
+                names = [c for c in b.schema.names if c != "bytes_"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names), *cols], names=[*names, "start", "length", "distance"])
+
+    schema = df.select(*rest).schema.add("start", "long").add("length", "long").add("distance", "long")
+    return df.select(*rest, F.col(bytes_col).cast("binary").alias("bytes_")).mapInArrow(run, schema)
