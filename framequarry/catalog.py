@@ -58,31 +58,64 @@ def frame_sizes_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Projections
 
+#: Of texts from this many bytes on, frames are smaller.
+_SHRINKS = 1000
+_TEXT = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+_TEXT_AND_SIZE = f"SELECT doc_id, coalesce(text, '') AS text, {_N} >= {_SHRINKS} AS shrunk FROM documents"
 
-def _round_trip(spark: SparkSession, sf_dir: str, options: codec.CompressOptions, back: codec.DecompressOptions | None = None) -> DataFrame:
-    """Compressed frames are read back by the decoder; an error would show as a null text."""
-    made = payloads(spark, sf_dir).withColumn("frame", codec.compress("payload", options)["data"])
-    return made.select("doc_id", codec.decompress("frame", back)["data"].cast("string").alias("text"))
 
+def _shrunk(frame: str = "frame") -> Column:
+    return ((F.octet_length("payload") >= _SHRINKS) & (F.octet_length(frame) < 0.8 * F.octet_length("payload"))).alias("shrunk")
 
-_TEXT = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+def _round_trip(spark: SparkSession, sf_dir: str, options: codec.CompressOptions, back: codec.DecompressOptions | None = None) -> DataFrame:
+    """Compressed frames are read back by the decoder; an error would show as a null text. shrunk: whether a long text's frame has less than 0.8 of its bytes."""
+    made = payloads(spark, sf_dir).withColumn("frame", codec.compress("payload", options)["data"])
+    return made.select("doc_id", codec.decompress("frame", back)["data"].cast("string").alias("text"), _shrunk())
 
 
-@query(_TEXT)
+@query(_TEXT_AND_SIZE)
 def roundtrip_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, codec.CompressOptions())
 
 
-@query(_TEXT)
+@query(_TEXT_AND_SIZE)
 def roundtrip_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, codec.CompressOptions(checksum=True))
 
 
-@query(_TEXT)
+@query(_TEXT_AND_SIZE)
 def roundtrip_long_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, codec.CompressOptions(ldm=True, window_log=24, content_size=False))
 
 
+@query(_TEXT_AND_SIZE)
+def roundtrip_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each setting of a context given by hand, two workers among them."""
+    o = codec.CompressOptions(strategy="lazy2", window_log=18, hash_log=15, chain_log=16, search_log=4, min_match=4, target_length=32, workers=2, job_size=1 << 20, overlap_log=6)
+    return _round_trip(spark, sf_dir, o)
+
+
+@query(_TEXT_AND_SIZE)
+def plain_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library reads what the encoder in Python wrote."""
+    return _round_trip(spark, sf_dir, codec.CompressOptions(strategy="lazy", checksum=True, plain=True))
+
+
+@query(f"SELECT strategy, count(*) AS n_docs, count(*) AS n_equal, 0::BIGINT AS n_errors FROM documents, (VALUES {', '.join(f"('{s}')" for s in pm.STRATEGIES)}) t(strategy) GROUP BY strategy")
+def plain_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each parser of the encoder in Python, read back by the library."""
+    return _matrix(spark, sf_dir, [(s, codec.CompressOptions(strategy=s, plain=True)) for s in pm.STRATEGIES], "strategy string")
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR {_N} = 64 THEN 'ok' ELSE 'SrcSizeWrong' END AS outcome FROM documents")
+def pledged_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pledged size that content does not have is an error."""
+    docs = payloads(spark, sf_dir)
+    fit = codec.compress(F.when(F.col("doc_id") % 2 != 0, F.col("payload")), codec.CompressOptions(pledged=64))
+    return docs.select("doc_id", F.coalesce(fit["error_name"], F.lit("ok")).alias("outcome"))
+
+
 LEVELS = (-5, 1, 3, 7, 12, 19)
 
 
@@ -119,8 +152,17 @@ def compression_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JOB = 4096
 
 
-@query(_TEXT)
+@query(f"SELECT doc_id, coalesce(text, '') AS text, 1::BIGINT AS n_frames, {_N}::BIGINT AS declared, {_N} >= {_SHRINKS} AS shrunk FROM documents")
 def parallel_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text as one frame whose blocks are made in parallel, each job seeing an overlap of the bytes before it."""
+    docs = payloads(spark, sf_dir)
+    made = codec.compress_one_frame(docs, "doc_id", "payload", 4, codec.CompressOptions(strategy="lazy", checksum=True), _JOB)
+    found = tables.frames(made.select("doc_id", "frame"), "frame").groupBy("doc_id").agg(F.count("*").alias("n_frames"), F.max("content_size").alias("declared"))
+    return made.join(found, "doc_id").join(docs, "doc_id").select("doc_id", codec.decompress("frame")["data"].cast("string").alias("text"), "n_frames", "declared", _shrunk())
+
+
+@query(_TEXT)
+def parallel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text as frames made in parallel and put together; decoding reads across them."""
     made = codec.compress_jobs(payloads(spark, sf_dir), "doc_id", "payload", _JOB)
     return made.select("doc_id", codec.decompress("frame")["data"].cast("string").alias("text"))
@@ -222,7 +264,7 @@ def skippable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id FROM documents WHERE {_N} <= 2048")
 def window_limit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames within a window, by their headers alone."""
-    return codec.guarded(raw_frames(spark, sf_dir), "frame", 2048).select("doc_id")
+    return codec.guarded(fb.materialized(raw_frames(spark, sf_dir).drop("payload"), "frame"), "frame", 2048).select("doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN doc_id % 3 = 1 THEN 'ok' ELSE 'DictionaryWrong' END AS outcome FROM documents")
@@ -238,10 +280,53 @@ def dict_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(r["error_name"], F.lit("ok")).alias("outcome"))
 
 
-@query("SELECT doc_id, n, CASE WHEN n = 0 THEN false ELSE true END AS uniform FROM (SELECT doc_id, (doc_id % 50)::INTEGER AS n FROM documents)")
+@query(
+    "SELECT doc_id, n > 0 AND h = repeat(substr(h, 1, 2), n) AS uniform, n > 0 AS run_uniform, n > 0 AND h = repeat(substr(h, 1, 2), n) AS twice_uniform "
+    f"FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, {_N} AS n FROM documents)"
+)
 def uniform_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = (F.col("doc_id") % 50).cast("int")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), stats.is_uniform(F.encode(F.repeat(F.lit("z"), n), "UTF-8")).alias("uniform"))
+    """Texts, runs of their first byte as long as they are, and texts doubled."""
+    docs = payloads(spark, sf_dir).withColumn("run", F.unhex(F.repeat(F.substring(F.hex("payload"), 1, 2), F.octet_length("payload"))))
+    return docs.select("doc_id", stats.is_uniform(F.col("payload")).alias("uniform"), stats.is_uniform(F.col("run")).alias("run_uniform"), stats.is_uniform(F.concat("payload", "payload")).alias("twice_uniform"))
+
+
+@query(
+    f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{fr.CONTENT_ERROR}' WHEN 1 THEN '0' ELSE {_N}::VARCHAR END AS content_size, "
+    f"CASE WHEN doc_id % 3 < 2 THEN '0' WHEN {_N} < 262144 THEN {_N}::VARCHAR ELSE (1::BIGINT << floor(log2({_N}))::INTEGER)::VARCHAR END AS window_size, 0::BIGINT AS dict_id, "
+    f"doc_id % 3 = 2 AND {_N} > 0 AS found_at_offset FROM documents"
+)
+def frame_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, windows and ids that never fail, of broken, skippable and regular frames; and a frame's header read at its offset in a buffer."""
+    k = F.col("doc_id") % 3
+    b = F.when(k == 0, F.unhex(F.lit("00112233"))).when(k == 1, fr.write_skippable_frame(F.col("payload"), F.lit(5))).otherwise(F.col("frame"))
+    docs = fb.materialized(raw_frames(spark, sf_dir).withColumn("b", b), "b").withColumn("whole", F.concat("payload", "b"))
+    docs = fb.materialized(docs, "whole").withColumn("at", fr.frame_header_at(F.col("whole"), F.octet_length("payload")))
+    return docs.select(
+        "doc_id",
+        fr.frame_content_size(F.col("b")).cast("string").alias("content_size"),
+        fr.frame_window_size(F.col("b")).cast("string").alias("window_size"),
+        fr.dictionary_id(F.col("b")).alias("dict_id"),
+        F.coalesce((F.col("at.frame_type") == "regular") & (F.col("at.content_size") == F.octet_length("payload")) & (F.octet_length("payload") > 0), F.lit(False)).alias("found_at_offset"),
+    )
+
+
+@query(
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ContentSizeMismatch' WHEN 1 THEN 'DictionaryWrong' WHEN 2 THEN 'DstSizeTooSmall' ELSE 'WindowTooLarge' END AS error_name, "
+    "CASE doc_id % 4 WHEN 0 THEN 'content_size_mismatch' WHEN 1 THEN 'dictionary_wrong' WHEN 2 THEN 'dstSize_tooSmall' ELSE 'windowTooLarge' END AS error_text FROM documents"
+)
+def refused_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that declare another size, want a dictionary, give more than is allowed or ask for too large a window."""
+    n = F.octet_length("payload").cast("bigint")
+    k = F.col("doc_id") % 4
+    docs = fb.materialized(raw_frames(spark, sf_dir), "frame").withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
+    head = F.when(k == 3, fr.write_frame_header(n, F.lit(1 << 28), F.lit(0), F.lit(False), F.lit(False))).otherwise(fr.write_frame_header(n + 1, F.greatest(n, F.lit(1024)), F.lit(0), F.lit(False), n + 1 < 256 * 1024))
+    frame = F.when(k % 3 == 0, F.concat(head, fb.part(F.col("frame"), F.col("size"), F.octet_length("frame")))).when(k == 2, F.concat("frame", F.unhex(F.lit("28b52ffda0000001000300080078")))).otherwise(F.col("frame"))
+    docs = fb.materialized(docs.select("doc_id", frame.alias("frame")), "frame")
+    needs = codec.decompress(F.when(k == 1, F.col("frame")), codec.DecompressOptions(require_dictionary=True))
+    small = codec.decompress(F.when(k == 2, F.col("frame")), codec.DecompressOptions(max_output=64 << 10))
+    rest = codec.decompress(F.when(k % 3 == 0, F.col("frame")))
+    error = F.coalesce(needs["error_name"], small["error_name"], rest["error_name"])
+    return docs.select("doc_id", error.alias("error_name")).select("doc_id", "error_name", codec.error_text(F.col("error_name")).alias("error_text"))
 
 
 # Table functions
@@ -279,6 +364,22 @@ def decompress_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.decompress_bound(docs, "b").select("doc_id", "bound")
 
 
+@query(f"SELECT doc_id, {_N}::BIGINT AS bound FROM documents")
+def unknown_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bound of frames without a declared size is that of their blocks."""
+    docs = fb.materialized(raw_frames(spark, sf_dir), "frame").withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
+    head = fr.write_frame_header(None, F.lit(1 << 17), F.lit(0), F.lit(False), F.lit(False))
+    docs = docs.select("doc_id", F.concat(head, fb.part(F.col("frame"), F.col("size"), F.octet_length("frame"))).alias("b"))
+    return tables.decompress_bound(docs, "b").select("doc_id", "bound")
+
+
+@query(f"SELECT doc_id, 'regular' AS kind, {_RAW}::BIGINT AS total_size, {_N}::BIGINT AS content_size FROM documents")
+def inspect_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first frame of a buffer, whatever follows it."""
+    docs = raw_frames(spark, sf_dir).select("doc_id", F.concat("frame", "payload").alias("b"))
+    return tables.inspect_frames(docs, "b").select("doc_id", "kind", "total_size", "content_size")
+
+
 @query(f"SELECT doc_id, count(*) AS n_frames, sum({_RAW})::BIGINT AS total FROM documents GROUP BY doc_id")
 def lateral_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL table function."""
@@ -321,7 +422,7 @@ def golden_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", F.col("r.error_name").isNull().alias("ok"), F.octet_length("r.data").cast("bigint").alias("n_bytes"))
 
 
-@query(_TEXT)
+@query(_TEXT_AND_SIZE)
 def plain_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decoder in Python reads what the library wrote."""
     return _round_trip(spark, sf_dir, codec.CompressOptions(level=6, checksum=True), codec.DecompressOptions(plain=True))
@@ -334,19 +435,23 @@ def legacy_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("version", F.octet_length("r.data").cast("bigint").alias("n_bytes"), F.col("r.error_name").alias("error_name"))
 
 
-@query(_TEXT)
+@query("SELECT version, count(*) AS n_docs, count(*) AS n_equal, 0::BIGINT AS n_errors FROM documents, (VALUES (2), (3), (4), (5)) t(version) GROUP BY version")
 def legacy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written as frames of versions 0.2 to 0.5, by turns, and read back."""
-    made = payloads(spark, sf_dir).withColumn("v", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
-    frame = F.coalesce(*[codec.compress_historic(F.when(F.col("v") == i, F.col("payload")), v)["data"] for i, v in enumerate(codec.HISTORIC_WRITTEN)])
-    return made.withColumn("frame", frame).select("doc_id", codec.decompress("frame")["data"].cast("string").alias("text"))
+    """Every text written as frames of each of the versions 0.2 to 0.5, and read back."""
+    out = None
+    for v in codec.HISTORIC_WRITTEN:
+        back = payloads(spark, sf_dir).withColumn("r", codec.decompress(codec.compress_historic("payload", v)["data"]))
+        one = back.agg(F.lit(v).alias("version"), F.count("*").alias("n_docs"), F.count_if(F.col("r.data") == F.col("payload")).alias("n_equal"), F.count("r.error_name").alias("n_errors"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("SELECT version, n_bytes FROM (VALUES " + ", ".join(f"({v}, {len(h) // 2}::BIGINT)" for v, h in LEGACY_FRAMES.items()) + ") t(version, n_bytes)")
+@query("SELECT version, n_bytes, true AS decodes FROM (VALUES " + ", ".join(f"({v}, {len(h) // 2}::BIGINT)" for v, h in LEGACY_FRAMES.items()) + ") t(version, n_bytes)")
 def legacy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historic frames are told apart by their first bytes."""
     rows = spark.createDataFrame([(bytearray.fromhex(h),) for h in LEGACY_FRAMES.values()], "frame binary")
-    return rows.select(fr.legacy_version(F.col("frame")).alias("version"), F.octet_length("frame").cast("bigint").alias("n_bytes"))
+    version = fr.legacy_version(F.col("frame"))
+    return rows.select(version.alias("version"), F.octet_length("frame").cast("bigint").alias("n_bytes"), fr.supports_decode(version).alias("decodes"))
 
 
 # Parameters
@@ -394,8 +499,7 @@ _PLAN_CASES = "(VALUES (0), (11), (20), (27)) w(window_log), (VALUES (false), (t
 def frame_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = payloads(spark, sf_dir).select("doc_id", F.octet_length("payload").alias("n"), F.explode(F.array(*[F.lit(x) for x in (0, 11, 20, 27)])).alias("window_log"))
     docs = docs.withColumn("ldm", F.explode(F.array(F.lit(False), F.lit(True))))
-    p = pm.plan_frame(F.col("n"), F.col("window_log"), F.col("ldm"), F.lit(0))
-    return docs.withColumn("p", p).select("doc_id", "window_log", "ldm", "p.single_segment", "p.window_size", "p.history_limit")
+    return pm.with_frame_plan(docs, F.col("n"), F.col("window_log"), F.col("ldm"), F.lit(0), "p").select("doc_id", "window_log", "ldm", "p.single_segment", "p.window_size", "p.history_limit")
 
 
 @query(
@@ -407,8 +511,8 @@ def frame_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def job_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 % 50000000).alias("n"), F.explode(F.array(F.lit(1), F.lit(4), F.lit(16))).alias("threads"))
-    plan = pm.plan_frame(F.col("n"), F.lit(0), F.lit(False), F.lit(0))
-    s = docs.withColumn("plan", plan).withColumn("s", pm.compute_split(F.col("n"), F.col("threads"), F.lit("fast"), F.col("plan"), F.lit(False), F.lit(False)))
+    planned = pm.with_frame_plan(docs, F.col("n"), F.lit(0), F.lit(False), F.lit(0))
+    s = pm.with_job_split(planned, F.col("n"), F.col("threads"), F.lit("fast"), "plan", F.lit(False), "s")
     return s.select("k", "threads", "s.num_jobs", "s.job_size", "s.overlap")
 
 
@@ -425,6 +529,27 @@ def ldm_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("window_log", "strategy", "hash_in", "s.*", pm.ldm_table_size(F.col("s.hash_log"), F.col("s.bucket_size_log")).alias("table_size"))
 
 
+@query(
+    "SELECT strategy, CASE WHEN k < 2 THEN 'hash_table' WHEN k < 5 THEN 'hash_chain' ELSE 'binary_tree' END AS finder, CASE WHEN k < 3 THEN 0 WHEN k = 3 THEN 1 ELSE 2 END AS lazy_steps, "
+    "CASE WHEN k = 8 THEN 9 WHEN k >= 6 THEN 8 WHEN k >= 4 THEN 7 ELSE 6 END AS overlap_log "
+    f"FROM (SELECT unnest({list(pm.STRATEGIES)}) AS strategy, generate_subscripts({list(pm.STRATEGIES)}, 1) - 1 AS k)"
+)
+def strategy_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in pm.STRATEGIES])).alias("strategy"))
+    return rows.select("strategy", pm.search_settings(F.col("strategy"))["finder"].alias("finder"), pm.search_settings(F.col("strategy"))["lazy_steps"].alias("lazy_steps"), pm.overlap_log(F.col("strategy")).alias("overlap_log"))
+
+
+@query("SELECT w AS window_log, CASE WHEN w > 0 AND w < 31 THEN 1::BIGINT << w::INTEGER END AS most FROM range(0, 33) t(w)")
+def distance_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(0, 33).select(F.col("id").alias("window_log"), pm.window_limit(F.col("id")).alias("most"))
+
+
+@query(f"SELECT '{fr.FORMAT_VERSION}' AS format_version, {fr.FORMAT_VERSION_NUMBER} AS format_number, -131072 AS least_level, 22 AS most_level, 3 AS default_level")
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = {"format_version": fr.FORMAT_VERSION, "format_number": fr.FORMAT_VERSION_NUMBER, "least_level": pm.LEVEL_MIN, "most_level": pm.LEVEL_MAX, "default_level": pm.LEVEL_DEFAULT}
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in given.items()])
+
+
 def _codes_sql() -> str:
     base = lambda name, bases: f"{name}(code, base) AS (VALUES {', '.join(f'({i}, {b})' for i, b in enumerate(bases))})"
     return f"""WITH {base("ll", pm.LL_BASE)}, {base("ml", pm.ML_BASE)}, d AS (SELECT doc_id, {_N}::BIGINT AS n FROM documents)
@@ -471,10 +596,15 @@ def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram_facts(_histogram(spark, sf_dir), ["lang"]).withColumn("entropy", F.round("entropy", 6))
 
 
-@query("SELECT lang, 2048::BIGINT AS table_size, true AS none_lost FROM documents GROUP BY lang HAVING sum(strlen(coalesce(text, ''))) > 0")
+@query(
+    f"WITH h AS (SELECT lang, symbol, count(*) AS n FROM ({_BYTES}) GROUP BY lang, symbol), "
+    "f AS (SELECT *, sum(n) OVER (PARTITION BY lang)::HUGEINT AS total, count(*) OVER (PARTITION BY lang)::HUGEINT AS k FROM h), "
+    "s AS (SELECT *, n * (2048 - k) // total AS whole, n * (2048 - k) % total AS rest FROM f), "
+    "p AS (SELECT *, 2048 - k - sum(whole) OVER (PARTITION BY lang) AS over, row_number() OVER (PARTITION BY lang ORDER BY rest DESC, symbol) AS place FROM s) "
+    "SELECT lang, symbol, n, (1 + whole + CASE WHEN place <= over THEN 1 ELSE 0 END)::BIGINT AS value FROM p"
+)
 def normalized_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stats.normalized_counts(_histogram(spark, sf_dir), ["lang"], 11)
-    return out.groupBy("lang").agg(F.sum("value").alias("table_size"), F.every(F.col("value") > 0).alias("none_lost"))
+    return stats.normalized_counts(_histogram(spark, sf_dir), ["lang"], 11)
 
 
 @query("SELECT lang, 2048::BIGINT AS kraft, true AS in_depth, true AS near_entropy FROM documents GROUP BY lang HAVING sum(strlen(coalesce(text, ''))) > 0")
@@ -487,6 +617,16 @@ def huffman_kraft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "kraft", (F.col("deepest") <= stats.CODE_DEPTH).alias("in_depth"), ((bits >= F.col("entropy") - 1e-9) & (bits < F.col("entropy") + 1)).alias("near_entropy"))
 
 
+@query(
+    f"WITH h AS (SELECT lang, symbol, count(*) AS n FROM ({_BYTES}) GROUP BY lang, symbol), f AS (SELECT lang, sum(n)::BIGINT AS total, max(symbol)::BIGINT AS top FROM h GROUP BY lang), "
+    "b AS (SELECT *, length(bin(total)) AS bt, CASE WHEN total > 1 THEN length(bin(total - 1)) ELSE 0 END AS bm, CASE WHEN top > 0 THEN length(bin(top)) ELSE 0 END AS bs FROM f) "
+    "SELECT lang, total, CASE WHEN total <= 1 THEN 5 ELSE greatest(5, least(12, greatest(least(11, greatest(bm - 3, 0)), least(bt, bs + 1)))) END::INTEGER AS table_log FROM b"
+)
+def table_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = stats.histogram_facts(_histogram(spark, sf_dir), ["lang"])
+    return facts.select("lang", "total", stats.table_log(F.col("total"), F.col("max_symbol").cast("long")).cast("int").alias("table_log"))
+
+
 @query(f"SELECT lang, symbol, floor(4 * log2(sum(n) OVER (PARTITION BY lang)::DOUBLE / n) + 1e-9)::BIGINT AS price FROM (SELECT lang, symbol, count(*) AS n FROM ({_BYTES}) GROUP BY lang, symbol)")
 def symbol_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.symbol_prices(_histogram(spark, sf_dir), ["lang"]).select("lang", "symbol", "price")
@@ -541,7 +681,7 @@ def dict_train_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample", "len", F.col("at").cast("bigint").alias("at"), F.col("taken").cast("bigint").alias("taken"))
 
 
-@query(_TEXT)
+@query(_TEXT_AND_SIZE)
 def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts compressed with a trained dictionary of a few KiB, which travels with the options."""
     samples = _samples(spark, sf_dir)
@@ -549,6 +689,28 @@ def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, codec.CompressOptions(dictionary=d), codec.DecompressOptions(dictionary=d, dict_id=7, require_dictionary=True))
 
 
+def _standard_dictionary(spark: SparkSession, sf_dir: str) -> bytes:
+    """A dictionary with tables, made by the library from a sample of the benchmark's texts that is bounded by its bytes (naive_selection of 1 MiB)."""
+    import zstandard
+
+    samples = _samples(spark, sf_dir)
+    chosen = samples.join(dictionary.naive_selection(samples, "item_id", "body", 1 << 20).select(F.col("sample").alias("item_id")), "item_id")
+    return zstandard.train_dictionary(SIZE, [bytes(r.body) for r in chosen.orderBy("item_id").collect()], dict_id=1234).as_bytes()
+
+
+@query("SELECT doc_id, coalesce(text, '') AS by_library, coalesce(text, '') AS by_decoder, coalesce(text, '') AS by_encoder, 1234::BIGINT AS dict_id FROM documents")
+def prepared_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A standard dictionary's tables in use: frames of the library read by the library and by the decoder in Python, and frames of the encoder in Python read by the library."""
+    d = _standard_dictionary(spark, sf_dir)
+    back = codec.DecompressOptions(dictionary=d, standard=True)
+    docs = payloads(spark, sf_dir).withColumn("a", codec.compress("payload", codec.CompressOptions(dictionary=d, standard=True))["data"])
+    docs = docs.withColumn("b", codec.compress("payload", codec.CompressOptions(strategy="greedy", dictionary=d, standard=True, plain=True))["data"])
+    text = lambda c, o: codec.decompress(c, o)["data"].cast("string")
+    return docs.select(
+        "doc_id", text("a", back).alias("by_library"), text("a", codec.replace(back, plain=True)).alias("by_decoder"), text("b", back).alias("by_encoder"), fr.dictionary_id(F.col("a")).alias("dict_id")
+    )
+
+
 @query("SELECT doc_id, (doc_id * 3)::BIGINT AS dict_id, hex(encode(coalesce(text, ''))) AS content FROM documents")
 def dict_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = payloads(spark, sf_dir).withColumn("b", dictionary.container(F.col("payload"), F.col("doc_id") * 3))
@@ -558,18 +720,50 @@ def dict_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Content-defined chunks
 
 
-@query(f"SELECT doc_id, {_N}::BIGINT AS n_bytes, true AS gapless FROM documents WHERE {_N} > 0")
+def _gear_sql(select: str) -> str:
+    """Hashes by doubling: sums over 2, 4, ... 64 bytes, modulo 2**64."""
+    steps, size = [], 1
+    while size < 64:
+        steps.append(f"g{2 * size} AS (SELECT doc_id, i, (g + coalesce(lag(g, {size}) OVER (PARTITION BY doc_id ORDER BY i), 0) * {1 << size}) % {1 << 64}::HUGEINT AS g FROM g{size})")
+        size *= 2
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, {_N} AS n FROM documents),
+g1 AS (SELECT doc_id, i, (('0x' || substr(h, 2 * i + 1, 2))::HUGEINT + 1) * {gear.PRIME}::HUGEINT % {1 << 64}::HUGEINT AS g FROM (SELECT doc_id, h, unnest(range(n)) AS i FROM d)),
+{", ".join(steps)},
+ends AS (SELECT doc_id, i + 1 AS end_at FROM g64 WHERE i >= 64 AND g < {1 << 57}::HUGEINT UNION SELECT doc_id, n FROM d WHERE n > 0),
+c AS (SELECT doc_id, (row_number() OVER w - 1)::INTEGER AS ord, coalesce(lag(end_at) OVER w, 0)::BIGINT AS start_at, end_at::BIGINT AS end_at FROM ends WINDOW w AS (PARTITION BY doc_id ORDER BY end_at))
+{select}"""
+
+
+@query(_gear_sql("SELECT * FROM c"))
 def gear_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks cover every byte once."""
-    chunks = gear.splits(payloads(spark, sf_dir), "payload")
-    out = chunks.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n_bytes"), F.max("end").alias("top"), F.min("start").alias("low"))
-    return out.select("doc_id", "n_bytes", ((F.col("top") == F.col("n_bytes")) & (F.col("low") == 0)).alias("gapless"))
+    """Each chunk of each text."""
+    return gear.splits(payloads(spark, sf_dir), "payload").select("doc_id", "ord", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
-@query()
+@query(
+    _gear_sql(
+        ", b AS (SELECT c.*, substr(h, 2 * start_at + 1, 2 * (end_at - start_at)) AS body FROM c JOIN d USING (doc_id) WHERE end_at - start_at >= 64), "
+        "f AS (SELECT *, first_value(doc_id) OVER w AS first_id, first_value(start_at) OVER w AS first_start FROM b WINDOW w AS (PARTITION BY body ORDER BY doc_id, start_at)) "
+        "SELECT doc_id, start_at, end_at, first_id, first_start FROM f WHERE first_id <> doc_id OR first_start <> start_at"
+    )
+)
 def gear_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long chunks that occur earlier in the corpus."""
-    return gear.repeated_chunks(gear.splits(payloads(spark, sf_dir), "payload"), "doc_id").select("doc_id", "start", "end", "first_id", "first_start")
+    out = gear.repeated_chunks(gear.splits(payloads(spark, sf_dir), "payload"), "doc_id")
+    return out.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "first_id", "first_start")
+
+
+@query(f"SELECT doc_id, true AS found, true AS within, true AS same FROM documents WHERE {_N} >= 5000")
+def gear_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of some length twice: nearly all of the second copy lies in long matches, which reach no farther than the window and copy equal bytes."""
+    docs = payloads(spark, sf_dir).where(F.octet_length("payload") >= 5000).withColumn("b", F.concat("payload", "payload"))
+    found = gear.long_matches(docs, "b", 27)
+    same = fb.part(F.concat("payload", "payload"), F.col("start"), F.col("length")) == fb.part(F.concat("payload", "payload"), F.col("start") - F.col("distance"), F.col("length"))
+    out = found.withColumn("same", same).groupBy("doc_id").agg(
+        (F.sum("length") >= 0.8 * F.first(F.octet_length("payload"))).alias("found"), F.every((F.col("distance") > 0) & (F.col("distance") <= F.col("start"))).alias("within"), F.every("same").alias("same")
+    )
+    return out.select("doc_id", "found", "within", "same")
 
 
 # Streams
@@ -577,7 +771,8 @@ def gear_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if there is None and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if there is None and not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{there or tempfile.mkdtemp()}/stream-{uuid4().hex}"
 
@@ -589,9 +784,9 @@ def _available(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query(_TEXT)
+@query(f"SELECT doc_id, coalesce(text, '') AS text, 1::BIGINT AS n_frames, {_N} >= {_SHRINKS} AS shrunk FROM documents")
 def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as streams of small chunks, compressed by one stateful stream and decoded by another."""
+    """Texts as streams of small chunks, every eighth of them flushed, compressed to one frame each by a stateful stream and decoded by another."""
     folder = _folder(spark)
     size = 1000
     source = table(spark, sf_dir, "documents")
@@ -599,12 +794,18 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / size)).cast("int")
     chunks = docs.select(F.col("doc_id").cast("string").alias("stream_id"), payload.alias("payload"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
-    chunks = chunks.select("stream_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), fb.part(F.col("payload"), F.col("chunk_no") * size, size).alias("chunk"), (F.col("chunk_no") == F.col("n") - 1).alias("is_last"))
-    made = _available(compress_stream(chunks), f"{folder}/c")
+    no = F.col("chunk_no")
+    chunks = chunks.select(
+        "stream_id", no.cast("bigint").alias("chunk_no"), fb.part(F.col("payload"), no * size, size).alias("chunk"), (no == F.col("n") - 1).alias("is_last"), (no % 8 == 7).alias("flush")
+    )
+    made = _available(compress_stream(chunks, codec.CompressOptions(strategy="greedy", checksum=True)), f"{folder}/c")
     again = spark.readStream.schema(made.schema).parquet(f"{folder}/c/out").select("stream_id", F.col("seq").alias("chunk_no"), F.col("data").alias("chunk"), F.col("done").alias("is_last"))
     back = _available(decompress_stream(again), f"{folder}/d")
     whole = codec.concat_frames(back.where("error_name IS NULL"), "stream_id", "seq", "data")
-    return whole.select(F.col("stream_id").cast("bigint").alias("doc_id"), F.col("data").cast("string").alias("text"))
+    frames = codec.concat_frames(made, "stream_id", "seq", "data").withColumnRenamed("data", "frame")
+    counted = tables.frames(frames, "frame").groupBy("stream_id").agg(F.count("kind").alias("n_frames"))
+    both = whole.join(counted, "stream_id").join(frames, "stream_id").withColumnRenamed("data", "payload")
+    return both.select(F.col("stream_id").cast("bigint").alias("doc_id"), F.col("payload").cast("string").alias("text"), "n_frames", _shrunk())
 
 
 def queries() -> dict[str, Query]:

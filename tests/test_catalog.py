@@ -75,6 +75,22 @@ def test_normalised_counts(seed):
     log = max(log, int(np.ceil(np.log2(max(2, (counts > 0).sum())))) + 1, 5)
     out = stats.normalized(counts, log)
     assert out.sum() == 1 << log and ((out > 0) == (counts > 0)).all()
+    exact = counts * ((1 << log) - (counts > 0).sum()) / counts.sum()
+    assert (np.abs(out - (counts > 0) - exact) < 1).all()
+
+
+def test_normalised_counts_as_windows(spark):
+    rng = random.Random(3)
+    keys = {k: {s: rng.choice([1, 2, 5, 100, 10**6]) for s in rng.sample(range(256), rng.randint(1, 200))} for k in range(12)} | {99: {7: 3}}
+    df = spark.createDataFrame([(k, s, n) for k, c in keys.items() for s, n in c.items()], "k int, symbol int, n long")
+    for log in (None, 9, 5):
+        out = {(r.k, r.symbol): r.value for r in stats.normalized_counts(df, ["k"], log).collect()}
+        for k, c in keys.items():
+            counts = np.zeros(256, np.int64)
+            counts[list(c)] = list(c.values())
+            size = log or stats.optimal_table_log(int(counts.sum()), max(c))
+            want = stats.normalized(counts, size) if len(c) <= 1 << size else None
+            assert all(out[k, s] == (None if want is None else want[s]) for s in c)
 
 
 @pytest.mark.parametrize("seed", range(30))
