@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framequarry.functions import bytes as fb
 from framequarry.functions import frames as fr
 from framequarry.functions import parameters as pm
-from framequarry.operators import codec, dictionary, gear, stats, tables
+from framequarry.operators import codec, dictionary, gear, offsets, stats, tables
 from framequarry.plans.golden import GOLDEN, LEGACY_FRAMES
 from framequarry.streaming.chunks import compress_stream, decompress_stream
 
@@ -168,13 +168,22 @@ def parallel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", codec.decompress("frame")["data"].cast("string").alias("text"))
 
 
-@query("SELECT lang, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS text FROM documents GROUP BY lang")
+#: Frames that are put into one buffer.
+_TOGETHER = 64
+
+
+@query(
+    "SELECT lang, buffer, string_agg(text, '' ORDER BY doc_id) AS text FROM (SELECT lang, doc_id, coalesce(text, '') AS text, "
+    f"(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // {_TOGETHER} AS buffer FROM documents) GROUP BY lang, buffer"
+)
 def concat_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a language, with skippable ones between, decode to the texts in order."""
+    """Frames of a language, with skippable ones between, in buffers of 64 texts that decode to the texts in order."""
     made = payloads(spark, sf_dir, "lang").withColumn("frame", codec.compress("payload")["data"])
-    padded = made.withColumn("frame", F.concat("frame", fr.write_skippable_frame(F.encode(F.lit("pad"), "UTF-8"), F.col("doc_id") % 16)))
-    whole = codec.concat_frames(padded, "lang", "doc_id", "frame")
-    return whole.select("lang", codec.decompress("frame")["data"].cast("string").alias("text"))
+    padded = made.select("lang", "doc_id", F.concat("frame", fr.write_skippable_frame(F.encode(F.lit("pad"), "UTF-8"), F.col("doc_id") % 16)).alias("frame"))
+    placed = offsets.running_offsets(padded.withColumn("size", F.octet_length("frame")), "lang", "doc_id", "size").withColumn("buffer", F.floor(F.col("ord") / _TOGETHER))
+    packed = F.sort_array(F.collect_list(F.struct("doc_id", F.hex("frame").alias("x"))))
+    whole = placed.groupBy("lang", "buffer").agg(F.unhex(F.array_join(F.transform(packed, lambda x: x["x"]), "")).alias("frame"))
+    return whole.select("lang", "buffer", codec.decompress("frame")["data"].cast("string").alias("text"))
 
 
 @query(f"SELECT doc_id, ({_N})::BIGINT AS n_bytes, true AS whole FROM documents")
@@ -337,11 +346,20 @@ def refused_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::INTEGER AS ord FROM documents"
 )
 def frame_iter_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a language in one buffer; their offsets are running sums of their sizes."""
-    made = raw_frames(spark, sf_dir, "lang")
-    whole = codec.concat_frames(made, "lang", "doc_id", "frame").join(made.groupBy("lang").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")), "lang")
+    """Frames of a language, in order, in buffers of about 16 MiB: what the iterator finds in each, with the offsets that the frames have in all buffers together."""
+    made = fb.materialized(raw_frames(spark, sf_dir, "lang").drop("payload"), "frame").withColumn("size", F.octet_length("frame"))
+    placed = offsets.running_offsets(made, "lang", "doc_id", "size").withColumn("buffer", F.floor(F.col("start_at") / (16 << 20)))
+    packed = F.sort_array(F.collect_list(F.struct("doc_id", F.hex("frame").alias("x"))))
+    whole = placed.groupBy("lang", "buffer").agg(
+        F.unhex(F.array_join(F.transform(packed, lambda x: x["x"]), "")).alias("frame"),
+        F.sort_array(F.collect_list("doc_id")).alias("ids"),
+        F.min("start_at").alias("first_at"),
+        F.min("ord").alias("first_ord"),
+    )
     found = tables.frames(whole, "frame")
-    return found.select("lang", F.get("ids", F.col("ord")).alias("doc_id"), "total_size", F.col("offset").alias("start_at"), "ord")
+    return found.select(
+        "lang", F.get("ids", F.col("ord")).alias("doc_id"), "total_size", (F.col("first_at") + F.col("offset")).alias("start_at"), (F.col("first_ord") + F.col("ord")).cast("int").alias("ord")
+    )
 
 
 _BIG = "strlen(repeat(coalesce(text, ''), 20))"

@@ -10,11 +10,13 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from framequarry import catalog
-from framequarry.operators import dictionary, gear, stats
+from framequarry.operators import codec, dictionary, gear, prepared, stats, walk
+from framequarry.operators.decoder import StreamDecoder
 from framequarry.sources import files
 from framequarry.streaming.chunks import compress_stream, decompress_stream
 
@@ -170,3 +172,119 @@ def test_files(spark, tmp_path):
     buffers = files.read_buffers(spark, str(tmp_path), "*.txt")
     files.write_parquet(files.compressed(buffers, "content"), f"{tmp_path}/out")
     assert bytes(zstandard.decompress(bytes(spark.read.parquet(f"{tmp_path}/out").first().frame))) == b"plain\n"
+
+
+def _run_stream(spark, stream, folder):
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/o").option("checkpointLocation", f"{folder}/s").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/o").orderBy("stream_id", "seq").collect()
+
+
+def test_flushed_bytes_can_be_read_before_the_end(spark, tmp_path):
+    """Three micro-batches: what a flush lets out decodes at once, the whole is one frame, and a chunk that comes again after the end opens nothing."""
+    rng = random.Random(6)
+    parts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=2000)).encode() for _ in range(3)]
+    rows = [("s", 0, bytearray(parts[0]), False, True), ("s", 1, bytearray(parts[1]), False, False), ("s", 2, bytearray(parts[2]), True, False), ("s", 1, bytearray(parts[1]), False, True)]
+    schema = "stream_id string, chunk_no long, chunk binary, is_last boolean, flush boolean"
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = compress_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), codec.CompressOptions(strategy="lazy", checksum=True))
+    out = _run_stream(spark, stream, tmp_path / "a")
+    assert [r.done for r in out] == [False, True]
+    first = bytes(out[0].data)
+    assert zstandard.ZstdDecompressor().decompressobj().decompress(first) == parts[0]
+    whole = first + bytes(out[1].data)
+    assert zstandard.ZstdDecompressor().decompressobj().decompress(whole) == b"".join(parts)
+    assert len(list(walk.walk(whole))) == 1 and len(whole) < 0.5 * sum(map(len, parts))
+
+
+def test_pledged_streams(spark, tmp_path):
+    schema = "stream_id string, chunk_no long, chunk binary, is_last boolean"
+    spark.createDataFrame([("fits", 0, bytearray(b"12345"), True), ("short", 0, bytearray(b"123"), True), ("long", 0, bytearray(b"1234567"), True)], schema).write.parquet(f"{tmp_path}/in")
+    stream = compress_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), codec.CompressOptions(pledged=5))
+    out = {r.stream_id: r for r in _run_stream(spark, stream, tmp_path / "a")}
+    assert out["short"].error_name == out["long"].error_name == "SrcSizeWrong"
+    assert walk.read_header(bytes(out["fits"].data)).content == 5
+
+
+@pytest.mark.parametrize("size", [1, 7, 5000])
+def test_stream_decoder_takes_any_pieces(size):
+    """Regular, skippable and concatenated frames in pieces of any size, by blocks."""
+    data = random.Random(1).randbytes(3000) + b"abc" * 50_000
+    c = zstandard.ZstdCompressor(level=3, write_checksum=True)
+    buffer = c.compress(data[: 20_000 if size < 100 else None]) + bytes.fromhex("502a4d1803000000616263") + c.compress(b"tail")
+    d, out = StreamDecoder(), b""
+    for i in range(0, len(buffer), size):
+        out += d.feed(buffer[i : i + size])
+    assert d.idle and out == data[: 20_000 if size < 100 else None] + b"tail"
+
+
+def test_streams_that_stay_away_are_given_up(spark, tmp_path):
+    import time
+
+    schema = "stream_id string, chunk_no long, chunk binary, is_last boolean"
+    spark.createDataFrame([("open", 0, bytearray(b"never ended"), False)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = compress_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), idle_ms=500)
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/s").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 60
+        out = []
+        while not out and time.time() < end:
+            time.sleep(1)
+            spark.createDataFrame([(f"tick{time.time()}", 0, bytearray(b"x"), True)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            out = [r for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/o").collect() if r.stream_id == "open"] if (tmp_path / "o").exists() else []
+    finally:
+        q.stop()
+    assert [(r.done, r.error_name) for r in out] == [(True, "SrcSizeWrong")]
+
+
+def test_prepared_dictionaries():
+    rng = random.Random(2)
+    samples = [" ".join(rng.choices(["header", "payload", "value", "key", "end", "start"], k=40)).encode() for _ in range(400)]
+    raw = zstandard.train_dictionary(4096, samples, dict_id=77).as_bytes()
+    d = prepared.prepare(raw)
+    assert d.dict_id == 77 and raw.endswith(d.content) and set(d.entropy_tables) == {"ll", "of", "ml", "literals"} and all(0 < r <= len(d.content) for r in d.repeats)
+    z = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT)
+    o = codec.DecompressOptions(dictionary=raw, standard=True)
+    for s in samples[:40]:
+        frame = zstandard.ZstdCompressor(dict_data=z).compress(s)
+        assert codec.decode_frame(frame, codec.replace(o, plain=True)) == s == codec.decode_frame(frame, o)
+        own = codec.encode(s, codec.CompressOptions(dictionary=raw, standard=True, plain=True, strategy="lazy"))
+        assert zstandard.ZstdDecompressor(dict_data=z).decompress(own) == s and len(own) < len(codec.encode(s, codec.CompressOptions(plain=True, strategy="lazy")))
+    assert prepared.from_content(b"raw").entropy_tables == {} and prepared.from_content(b"raw").repeats == (1, 4, 8)
+    for broken, name in ((raw[:20], "DictionaryCorrupted"), (b"raw content", "InvalidDictionary"), (raw[: -len(d.content)], "DictionaryCorrupted"), (raw[:4], "InvalidDictionary")):
+        with pytest.raises(walk.FrameError, match=name):
+            prepared.prepare(broken)
+    with pytest.raises(walk.FrameError, match="DictionaryWrong"):
+        codec.decode_frame(frame, codec.DecompressOptions(dictionary=zstandard.train_dictionary(4096, samples, dict_id=78).as_bytes(), standard=True))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_matches(seed):
+    rng = random.Random(seed)
+    blocks = [rng.randbytes(rng.randint(800, 3000)) for _ in range(6)]
+    data = b"".join(rng.choice(blocks) + rng.randbytes(rng.randint(0, 50)) for _ in range(40))
+    for window in (1 << 13, 1 << 40):
+        found = gear.matches_of(data, window)
+        done = 0
+        for start, length, distance in found:
+            assert start >= done and 0 < distance <= min(start, window) and length >= gear.MIN_MATCH
+            assert data[start : start + length] == data[start - distance : start - distance + length]
+            assert start + length == len(data) or data[start + length] != data[start + length - distance]
+            done = start + length
+    assert sum(n for _, n, _ in found) > 0.6 * len(data)
+
+
+def test_one_frame_of_one_large_buffer(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
+    data = " ".join(rng.choices(words, k=100_000)).encode()
+    df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"")), (3, bytearray(b"short"))], "i long, b binary")
+    for checksum in (False, True):
+        out = {r.i: r for r in codec.compress_one_frame(df, "i", "b", 3, codec.CompressOptions(strategy="greedy", checksum=checksum), 100_000).collect()}
+        assert out[1].num_jobs > 1 and out[2].num_jobs == out[3].num_jobs == 1
+        for i, want in ((1, data), (2, b""), (3, b"short")):
+            frame = bytes(out[i].frame)
+            assert zstandard.ZstdDecompressor().decompressobj().decompress(frame) == want
+            assert len(list(walk.walk(frame))) == 1 and walk.read_header(frame).content == len(want) and walk.read_header(frame).checksum == checksum
+        assert len(out[1].frame) < 1.05 * len(codec.encode(data, codec.CompressOptions(strategy="greedy", plain=True)))

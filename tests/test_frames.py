@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framequarry.functions import bytes as fb
 from framequarry.functions import frames as fr
-from framequarry.operators import codec, tables, walk
+from framequarry.operators import codec, offsets, tables, walk
 from framequarry.plans.golden import GOLDEN, LEGACY_FRAMES
 
 SIZES = (0, 1, 3, 7, 16, 63, 255, 256, 1024, 4096, 65536, 131073)
@@ -184,3 +184,45 @@ def test_sql_functions(spark):
     assert (r.t, r.c) == ("some text", 0x51D8E999)
     blocks = spark.sql("SELECT f.* FROM VALUES (unhex('28b52ffd240001000099e9d851')) t(b), LATERAL fq_blocks(b) f").collect()
     assert [(x.block_type, x.last, x.size) for x in blocks] == [("raw", True, 0)]
+
+
+def test_decoding_stops_at_the_room_given(spark):
+    """A few bytes of run blocks would give 128 MiB; no more than the room is made."""
+    bomb = bytes.fromhex("28b52ffd0088") + b"".join((2 | 131072 << 3).to_bytes(3, "little") + b"x" for _ in range(1023)) + (3 | 131072 << 3).to_bytes(3, "little") + b"x"
+    assert len(bomb) < 5000
+    df = frame_df(spark, [("bomb", bomb), ("fits", zstandard.ZstdCompressor().compress(b"y" * 1000)), ("null", None)])
+    for o in (codec.DecompressOptions(), codec.DecompressOptions(plain=True)):
+        out = {r.name: r.r for r in df.select("name", codec.decompress_into("b", F.lit(1000), o).alias("r")).collect()}
+        assert out["bomb"] == (None, "DstSizeTooSmall") and out["null"] == (None, None) and bytes(out["fits"].data) == b"y" * 1000
+        out = {r.name: r.r for r in df.select("name", codec.decompress("b", codec.replace(o, max_output=999)).alias("r")).collect()}
+        assert out["bomb"].error_name == out["fits"].error_name == "DstSizeTooSmall"
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    with pytest.raises(walk.FrameError, match="DstSizeTooSmall"):
+        codec.decode_all(bomb, codec.DecompressOptions(max_output=1 << 20))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 64 << 10
+
+
+def test_headers_run_in_generated_code(spark, tmp_path):
+    """Filters and projections on headers of stored frames are whole-stage code, and need no Python."""
+    frame_df(spark, [("a", zstandard.ZstdCompressor().compress(b"abc"))]).write.parquet(f"{tmp_path}/f")
+    df = codec.guarded(spark.read.parquet(f"{tmp_path}/f"), "b", 1 << 20).select("name", fr.frame_header(F.col("b")).alias("h"))
+    assert df.collect()[0].h.content_size == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "lambda" not in plan
+    lines = [x for x in plan.splitlines() if "Filter (" in x or "Project [" in x]
+    assert lines and all("*(1)" in x for x in lines)
+
+
+def test_offsets_of_a_hot_key(spark):
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else rng.choice(["a", None]), rng.randint(0, 10**9), rng.randint(0, 500)) for i in range(3000)]
+    out = offsets.running_offsets(spark.createDataFrame(rows, "k string, i long, size int"), "k", "i", "size", 64).collect()
+    want = {}
+    for k in ("hot", "a", None):
+        at = 0
+        for n, (i, size) in enumerate(sorted((i, s) for x, i, s in rows if x == k)):
+            want[k, n] = (i, size, at)
+            at += size
+    assert {(r.k, r.ord): (r.i, r.size, r.start_at) for r in out} == want
