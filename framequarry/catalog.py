@@ -41,7 +41,7 @@ def payloads(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def raw_frames(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return payloads(spark, sf_dir, *more).withColumn("frame", fr.raw_frame(F.col("payload")))
+    return fb.materialized(payloads(spark, sf_dir, *more).withColumn("frame", fr.raw_frame(F.col("payload"))), "frame")
 
 
 _N = "strlen(coalesce(text, ''))"
@@ -241,17 +241,16 @@ def raw_frame_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH c AS (SELECT doc_id, single, dict_id FROM documents, (VALUES (true), (false)) s(single), (VALUES (0), (200), (300), (70000)) d(dict_id)) "
-    "SELECT doc_id, single, dict_id::BIGINT AS dict_id, doc_id % 2 = 1 AS checksum, "
-    "(CASE WHEN single THEN doc_id * doc_id * 37 ELSE 1::BIGINT << (10 + doc_id % 15)::INTEGER END)::BIGINT AS window_size, (doc_id * doc_id * 37)::BIGINT AS content_size FROM c"
+    f"WITH c AS (SELECT doc_id, single, dict_id, {_N}::BIGINT * {_N} * 37 AS n, 10 + {_N} % 15 AS log FROM documents, (VALUES (true), (false)) s(single), (VALUES (0), (200), (300), (70000)) d(dict_id)) "
+    "SELECT doc_id, single, dict_id::BIGINT AS dict_id, log % 2 = 1 AS checksum, (CASE WHEN single THEN n ELSE 1::BIGINT << log::INTEGER END)::BIGINT AS window_size, n::BIGINT AS content_size FROM c"
 )
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers of all widths of sizes and ids, written and read back."""
-    ids = table(spark, sf_dir, "documents").select("doc_id")
-    cases = ids.select("doc_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("single")).select("*", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 200, 300, 70000)])).alias("dict_id"))
-    n, log = F.col("doc_id") * F.col("doc_id") * 37, (F.col("doc_id") % 15 + 10).cast("int")
-    head = fr.write_frame_header(n, F.pow(F.lit(2), log).cast("bigint"), F.col("dict_id"), F.col("doc_id") % 2 == 1, F.col("single"))
-    h = cases.withColumn("h", fr.frame_header(head))
+    """Headers of all widths of sizes and ids, written and read back; sizes and windows are made of the texts' lengths."""
+    docs = payloads(spark, sf_dir).select("doc_id", F.octet_length("payload").cast("bigint").alias("k"))
+    cases = docs.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("single")).select("*", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 200, 300, 70000)])).alias("dict_id"))
+    log = F.col("k") % 15 + 10
+    head = fr.write_frame_header(F.col("k") * F.col("k") * 37, F.pow(F.lit(2), log).cast("bigint"), F.col("dict_id"), log % 2 == 1, F.col("single"))
+    h = fb.materialized(cases.withColumn("head", head), "head").withColumn("h", fr.frame_header(F.col("head")))
     return h.select(
         "doc_id",
         "single",
@@ -273,7 +272,7 @@ def skippable_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id FROM documents WHERE {_N} <= 2048")
 def window_limit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames within a window, by their headers alone."""
-    return codec.guarded(fb.materialized(raw_frames(spark, sf_dir).drop("payload"), "frame"), "frame", 2048).select("doc_id")
+    return codec.guarded(raw_frames(spark, sf_dir), "frame", 2048).select("doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN doc_id % 3 = 1 THEN 'ok' ELSE 'DictionaryWrong' END AS outcome FROM documents")
@@ -327,7 +326,7 @@ def refused_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that declare another size, want a dictionary, give more than is allowed or ask for too large a window."""
     n = F.octet_length("payload").cast("bigint")
     k = F.col("doc_id") % 4
-    docs = fb.materialized(raw_frames(spark, sf_dir), "frame").withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
+    docs = raw_frames(spark, sf_dir).withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
     head = F.when(k == 3, fr.write_frame_header(n, F.lit(1 << 28), F.lit(0), F.lit(False), F.lit(False))).otherwise(fr.write_frame_header(n + 1, F.greatest(n, F.lit(1024)), F.lit(0), F.lit(False), n + 1 < 256 * 1024))
     frame = F.when(k % 3 == 0, F.concat(head, fb.part(F.col("frame"), F.col("size"), F.octet_length("frame")))).when(k == 2, F.concat("frame", F.unhex(F.lit("28b52ffda0000001000300080078")))).otherwise(F.col("frame"))
     docs = fb.materialized(docs.select("doc_id", frame.alias("frame")), "frame")
@@ -347,7 +346,7 @@ def refused_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def frame_iter_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a language, in order, in buffers of about 16 MiB: what the iterator finds in each, with the offsets that the frames have in all buffers together."""
-    made = fb.materialized(raw_frames(spark, sf_dir, "lang").drop("payload"), "frame").withColumn("size", F.octet_length("frame"))
+    made = raw_frames(spark, sf_dir, "lang").drop("payload").withColumn("size", F.octet_length("frame"))
     placed = offsets.running_offsets(made, "lang", "doc_id", "size").withColumn("buffer", F.floor(F.col("start_at") / (16 << 20)))
     packed = F.sort_array(F.collect_list(F.struct("doc_id", F.hex("frame").alias("x"))))
     whole = placed.groupBy("lang", "buffer").agg(
@@ -385,7 +384,7 @@ def decompress_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, {_N}::BIGINT AS bound FROM documents")
 def unknown_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bound of frames without a declared size is that of their blocks."""
-    docs = fb.materialized(raw_frames(spark, sf_dir), "frame").withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
+    docs = raw_frames(spark, sf_dir).withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
     head = fr.write_frame_header(None, F.lit(1 << 17), F.lit(0), F.lit(False), F.lit(False))
     docs = docs.select("doc_id", F.concat(head, fb.part(F.col("frame"), F.col("size"), F.octet_length("frame"))).alias("b"))
     return tables.decompress_bound(docs, "b").select("doc_id", "bound")
