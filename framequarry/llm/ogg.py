@@ -4,7 +4,7 @@ Payloads are 8-bit samples. A writer cuts them into packets, deals the packets i
 verifies each page's checksum, sequence and flags, puts packets together from lacing values, separates the streams and derives each packet's time from granule positions.
 Both work on one row at a time inside an Arrow batch, so nothing is shuffled.
 
-Defined cases: a null value is read as an empty one; broken bytes give what could be read, with the faults counted by name; repeated rows give equal results; further
+Defined cases: a null value is read as an empty one; a value of any length that Spark holds is written whole, as more packets and pages; broken bytes give what could be read, with the faults counted by name; repeated rows give equal results; further
 columns stay, columns with the result's names are replaced; an empty table gives an empty result.
 """
 

@@ -89,6 +89,12 @@ def test_query_holds_the_payload(spark, sf_dir):
         assert r.faults == ""
 
 
+def test_very_long_values(spark):
+    rows = [(1, bytearray(random.Random(1).randbytes(4_000_000))), (2, None), (3, bytearray(b"\0" * 3_000_000))]
+    out = {r.i: r for r in ogg.from_ogg(ogg.to_ogg(spark.createDataFrame(rows, "i int, b binary"), "b")).collect()}
+    assert all(bytes(out[i].payload) == bytes(b or b"") and out[i].faults == "" for i, b in rows)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer

@@ -119,6 +119,19 @@ def test_urls_match_brute_force(spark, lanes):
     assert url_rules.filter_urls(df.limit(0), url_rules.rule_table(spark)).count() == 0
 
 
+def test_rules_and_sweep_are_free_of_python(spark, sf_dir):
+    plan = queries.op3_url_filters(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "ExistingRDD", "monotonically"))
+
+
+def test_odd_rules(spark):
+    rules = [("it's.org", "/a\\b", "block"), ("net", None, "block"), (None, "/", "block")]
+    df = spark.createDataFrame([(1, "http://it's.org/a\\b/c"), (2, "http://net/"), (3, "http://x/" + "y" * 1_000_000), (4, None)], "page_id long, url string")
+    out = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in url_rules.filter_urls(df, url_rules.rule_table(spark, rules)).collect()}
+    assert out == {1: ("it's.org/a\\b", "block", 6), 2: (None, "allow", 1), 3: (None, "allow", 1_000_001), 4: (None, "allow", 0)}
+    assert url_rules.filter_urls(df, url_rules.rule_table(spark, [])).where("verdict <> 'allow'").count() == 0
+
+
 # Sharding
 
 
