@@ -634,6 +634,11 @@ def huffman_kraft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "kraft", (F.col("deepest") <= stats.CODE_DEPTH).alias("in_depth"), ((bits >= F.col("entropy") - 1e-9) & (bits < F.col("entropy") + 1)).alias("near_entropy"))
 
 
+@query(f"SELECT lang, symbol, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, symbol)::INTEGER AS place FROM (SELECT lang, symbol, count(*) AS n FROM ({_BYTES}) GROUP BY lang, symbol)")
+def symbol_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.symbol_order(_histogram(spark, sf_dir), ["lang"])
+
+
 @query(
     f"WITH h AS (SELECT lang, symbol, count(*) AS n FROM ({_BYTES}) GROUP BY lang, symbol), f AS (SELECT lang, sum(n)::BIGINT AS total, max(symbol)::BIGINT AS top FROM h GROUP BY lang), "
     "b AS (SELECT *, length(bin(total)) AS bt, CASE WHEN total > 1 THEN length(bin(total - 1)) ELSE 0 END AS bm, CASE WHEN top > 0 THEN length(bin(top)) ELSE 0 END AS bs FROM f) "

@@ -156,6 +156,11 @@ def huffman_lengths(histogram: DataFrame, keys: list[str], depth: int = CODE_DEP
     return _per_buffer(histogram, keys, _schema(histogram, keys), lambda counts: code_lengths(counts, depth))
 
 
+def symbol_order(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, symbol, n and the symbol's place from the most frequent down; of equal counts the smaller symbol comes first."""
+    return histogram.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "symbol")))
+
+
 def payload_bytes(lengths: DataFrame, keys: list[str]) -> DataFrame:
     """keys with the bytes of the coded payload and the codes' Kraft sum, in shares of 2**depth."""
     return lengths.groupBy(*keys).agg(

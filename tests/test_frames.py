@@ -226,3 +226,20 @@ def test_offsets_of_a_hot_key(spark):
             want[k, n] = (i, size, at)
             at += size
     assert {(r.k, r.ord): (r.i, r.size, r.start_at) for r in out} == want
+
+
+def test_contexts_and_names(spark):
+    from framequarry import api
+
+    c = api.CompressionContext().set_level(5).set_checksum(True).set_strategy("lazy").set_window_log(15).set_workers(2).set_search(hash_log=12)
+    assert c.options == codec.CompressOptions(5, "lazy", True, 15, workers=2, hash_log=12)
+    d = api.DecompressionContext().set_max_window_size(1 << 15).set_max_output(10_000)
+    df = frame_df(spark, [("a", b"abc" * 3000), ("b", b"x" * 20_000)])
+    out = {r.name: r.r for r in df.withColumn("f", c.compress("b")["data"]).select("name", d.decompress("f").alias("r")).collect()}
+    assert bytes(out["a"].data) == b"abc" * 3000 and out["b"].error_name == "DstSizeTooSmall"
+    for bad in (lambda: c.set_level(23), lambda: c.set_window_log(9), lambda: c.set_strategy("best")):
+        with pytest.raises(ValueError, match="ParameterOutOfBound"):
+            bad()
+    assert c.set_pledged_size(3).reset().options == codec.CompressOptions()
+    one = frame_df(spark, [("a", bytes.fromhex("28b52ffd24"))]).select(api.frames.detect(F.col("b")).alias("k"), api.legacy.supports_decode(F.lit(8)).alias("l")).first()
+    assert (one.k, one.l) == ("zstd", False)
