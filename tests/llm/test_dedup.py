@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -350,6 +351,21 @@ def families(seed: int, n_families: int, n: int, low: float, high: float) -> lis
     return rows
 
 
+def all_components(rows: list[tuple[int, str]], similarity: float) -> dict[int, int]:
+    """By every pair of texts."""
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in similar_pairs(dict(rows), 5, similarity):
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in up}
+
+
 def candidate_components(rows: list[tuple[int, str]], radius: int, similarity: float) -> dict[int, int]:
     """By every pair that meets in a band and lies within the radius."""
     h = {i: np.unique(simhash.shingle_hashes(t, 5)) for i, t in rows}
@@ -371,14 +387,28 @@ def candidate_components(rows: list[tuple[int, str]], radius: int, similarity: f
     return {i: root(i) for i in h}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_no_link_is_lost_behind_one_that_fails(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(0, 1024), (1, 16)])
+def test_no_link_is_lost_behind_one_that_fails(spark, monkeypatch, seed, block):
+    """All that candidates join is joined, and nothing that no pair of the similarity joins."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rows = families(seed, 4, 60, 0.86, 0.92)
-    want = candidate_components(rows, 92, 0.8)
+    least, most = candidate_components(rows, 92, 0.8), all_components(rows, 0.8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r.doc_id: r.component_id for r in simhash.simhash_components(df, bits=512, ngram=5, radius=92, similarity=0.8).collect()}
-    assert len(set(want.values())) > 8
-    assert out == want
+    assert len(set(most.values())) > 8
+    assert all(out[i] == out[least[i]] and most[i] == most[out[i]] for i in out)
+
+
+def test_a_dense_group_of_failing_links_sends_few_rows(spark):
+    """Texts of one template that are all a little too far from each other: no pairs leave the tasks that compare them."""
+    rows = families(5, 1, 300, 0.84, 0.86)
+    h = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    sent = [(1, 0, 0, i, i, 0, x.tobytes()) for i, x in enumerate(h)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sent, strict=True)], names=["forest", "i", "j", "node", "component", "block", "set_"])
+    out = [tuple(r.values()) for b in simhash._block_links(0.8)(iter([batch])) for r in b.to_pylist()]
+    near = [(a, b) for a, b in combinations(range(len(h)), 2) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    assert len(out) < len(h) and set(out) <= set(near)
+    assert len(set(all_components(rows, 0.8).values())) == len(h) - len(out)
 
 
 def test_pairs_at_the_threshold_lie_within_the_pipelines_radius():
