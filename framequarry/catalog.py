@@ -52,7 +52,7 @@ _RAW = f"(5 + CASE WHEN {_N} < 262144 THEN CASE WHEN {_N} < 256 THEN 1 WHEN {_N}
 @query(f"SELECT lang, count(*) AS n_docs, sum({_N})::BIGINT AS content_bytes, sum({_RAW})::BIGINT AS frame_bytes FROM documents GROUP BY lang")
 def frame_sizes_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to frames and back to their headers, by language."""
-    docs = raw_frames(spark, sf_dir, "lang").withColumn("h", fr.frame_header(F.col("frame")))
+    docs = fr.with_frame_header(raw_frames(spark, sf_dir, "lang"), "frame", "h")
     return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.col("h.content_size").cast("bigint")).alias("content_bytes"), F.sum(F.octet_length("frame").cast("bigint")).alias("frame_bytes"))
 
 
@@ -228,8 +228,7 @@ def frame_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"({_RAW} - {_N} - 3 * greatest(1, ceil({_N} / 131072.0)))::BIGINT AS header_size, least({_N}, 131072)::BIGINT AS block_size_max FROM documents"
 )
 def raw_frame_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = fr.frame_header(F.col("frame"))
-    docs = raw_frames(spark, sf_dir).select("doc_id", h.alias("h"), fb.byte_at(F.col("frame"), 4).alias("flags"))
+    docs = fr.with_frame_header(raw_frames(spark, sf_dir), "frame", "h").select("doc_id", "h", fb.byte_at(F.col("frame"), 4).alias("flags"))
     return docs.select(
         "doc_id",
         (F.col("flags").bitwiseAND(32) != 0).alias("single_segment"),
@@ -250,7 +249,7 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = docs.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("single")).select("*", F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 200, 300, 70000)])).alias("dict_id"))
     log = F.col("k") % 15 + 10
     head = fr.write_frame_header(F.col("k") * F.col("k") * 37, F.pow(F.lit(2), log).cast("bigint"), F.col("dict_id"), log % 2 == 1, F.col("single"))
-    h = fb.materialized(cases.withColumn("head", head), "head").withColumn("h", fr.frame_header(F.col("head")))
+    h = fr.with_frame_header(fb.materialized(cases.withColumn("head", head), "head"), "head", "h")
     return h.select(
         "doc_id",
         "single",
@@ -281,7 +280,7 @@ def dict_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.octet_length("payload").cast("bigint")
     dict_id = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 77).otherwise(78)
     head = fr.write_frame_header(n, F.greatest(n, F.lit(1024)), dict_id, F.lit(False), n < 256 * 1024)
-    docs = raw_frames(spark, sf_dir).withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
+    docs = fr.with_frame_header(raw_frames(spark, sf_dir), "frame", "h").withColumn("size", F.col("h.header_size"))
     frame = F.concat(head, fb.part(F.col("frame"), F.col("size"), F.octet_length("frame")))
     docs = fb.materialized(docs.select("doc_id", frame.alias("frame")), "frame")
     r = codec.decompress("frame", codec.DecompressOptions(dictionary=b"some dictionary content", dict_id=77))
@@ -326,7 +325,7 @@ def refused_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that declare another size, want a dictionary, give more than is allowed or ask for too large a window."""
     n = F.octet_length("payload").cast("bigint")
     k = F.col("doc_id") % 4
-    docs = raw_frames(spark, sf_dir).withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
+    docs = fr.with_frame_header(raw_frames(spark, sf_dir), "frame", "h").withColumn("size", F.col("h.header_size"))
     head = F.when(k == 3, fr.write_frame_header(n, F.lit(1 << 28), F.lit(0), F.lit(False), F.lit(False))).otherwise(fr.write_frame_header(n + 1, F.greatest(n, F.lit(1024)), F.lit(0), F.lit(False), n + 1 < 256 * 1024))
     frame = F.when(k % 3 == 0, F.concat(head, fb.part(F.col("frame"), F.col("size"), F.octet_length("frame")))).when(k == 2, F.concat("frame", F.unhex(F.lit("28b52ffda0000001000300080078")))).otherwise(F.col("frame"))
     docs = fb.materialized(docs.select("doc_id", frame.alias("frame")), "frame")
@@ -384,7 +383,7 @@ def decompress_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, {_N}::BIGINT AS bound FROM documents")
 def unknown_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bound of frames without a declared size is that of their blocks."""
-    docs = raw_frames(spark, sf_dir).withColumn("size", fr.frame_header(F.col("frame"))["header_size"])
+    docs = fr.with_frame_header(raw_frames(spark, sf_dir), "frame", "h").withColumn("size", F.col("h.header_size"))
     head = fr.write_frame_header(None, F.lit(1 << 17), F.lit(0), F.lit(False), F.lit(False))
     docs = docs.select("doc_id", F.concat(head, fb.part(F.col("frame"), F.col("size"), F.octet_length("frame"))).alias("b"))
     return tables.decompress_bound(docs, "b").select("doc_id", "bound")

@@ -18,6 +18,14 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(F.col(name).alias(name))))).select(*df.columns)
 
 
+def in_steps(df: DataFrame, name: str, *steps: dict[str, Column]) -> DataFrame:
+    """df with the struct of the last step's columns. Each step is a projection over the columns of those before it, so what is used often is made once, in generated code, and no expression grows long."""
+    out = df
+    for step in steps[:-1]:
+        out = out.withColumns(step)
+    return out.withColumn(name, F.struct(*[c.alias(k) for k, c in steps[-1].items()])).select(*[c for c in df.columns if c != name], name)
+
+
 def part(b: Column, offset: Column | int, n: Column | int) -> Column:
     """n bytes from a 0-based offset; fewer if the buffer ends."""
     return F.substring(b, _col(offset).cast("int") + 1, _col(n).cast("int"))

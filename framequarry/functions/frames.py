@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.functions.bytes import byte_of, first_true, high_bit, latin, number_of, part, read_le, write_le
+from framequarry.functions.bytes import byte_of, first_true, high_bit, in_steps, latin, number_of, part, read_le, write_le
 
 # Fixed values of the format.
 MAGIC = 0xFD2FB528
@@ -85,25 +85,34 @@ def _big(c: Column) -> Column:
     return c.cast("decimal(20,0)")
 
 
-def _fields(b: Column) -> _Fields:
-    head, n = latin(part(b, 0, HEAD)), F.octet_length(b)
-    m, flags, wl = number_of(head, 0, 4), byte_of(head, 4), byte_of(head, 5)
-    single = flags.bitwiseAND(32) != 0
-    id_size = F.element_at(F.array(*map(F.lit, (0, 1, 2, 4))), flags.bitwiseAND(3).cast("int") + 1)
-    code = F.shiftright(flags, 6)
+def _basics(b: Column) -> dict[str, Column]:
+    head = latin(part(b, 0, HEAD))
+    return {"fh_head": head, "fh_n": F.octet_length(b), "fh_m": number_of(head, 0, 4), "fh_flags": byte_of(head, 4), "fh_wl": byte_of(head, 5)}
+
+
+def _places(v: dict[str, Column]) -> dict[str, Column]:
+    """Where the fields after the first lie."""
+    flags = v["fh_flags"]
+    single, code = flags.bitwiseAND(32) != 0, F.shiftright(flags, 6)
     at = F.when(single, 5).otherwise(6)
-    content_at = at + id_size
+    id_size = F.element_at(F.array(*map(F.lit, (0, 1, 2, 4))), flags.bitwiseAND(3).cast("int") + 1)
     content_size = F.when((code == 0) & single, 1).otherwise(F.element_at(F.array(*map(F.lit, (0, 2, 4, 8))), code.cast("int") + 1))
-    kinds = flags.bitwiseAND(3)
+    return {"fh_single": single, "fh_code": code, "fh_at": at, "fh_content_at": at + id_size, "fh_content_size": content_size, "fh_skip": v["fh_m"].bitwiseAND(SKIPPABLE_MASK) == MAGIC_SKIPPABLE}
+
+
+def _values(v: dict[str, Column]) -> dict[str, Column]:
+    head, at, content_at, single, code, kinds = v["fh_head"], v["fh_at"], v["fh_content_at"], v["fh_single"], v["fh_code"], v["fh_flags"].bitwiseAND(3)
     dict_id = first_true((kinds == 0, F.lit(0).cast("bigint")), (kinds == 1, byte_of(head, at)), (kinds == 2, number_of(head, at, 2)), default=number_of(head, at, 4))
     content = first_true(
         (code == 3, number_of(head, content_at, 8)), (code == 2, _big(number_of(head, content_at, 4))), (code == 1, _big(number_of(head, content_at, 2) + 256)), (single, _big(byte_of(head, content_at)))
     )
-    log = F.shiftright(wl, 3) + WINDOW_LOG_MIN
+    log = F.shiftright(v["fh_wl"], 3) + WINDOW_LOG_MIN
     base = F.call_function("shiftleft", F.lit(1).cast("bigint"), log.cast("int"))
-    window = base + F.shiftright(base, 3) * wl.bitwiseAND(7)
-    skippable = m.bitwiseAND(SKIPPABLE_MASK) == MAGIC_SKIPPABLE
-    size = content_at + content_size
+    return {"fh_id": dict_id, "fh_content": content, "fh_log": log, "fh_window": base + F.shiftright(base, 3) * v["fh_wl"].bitwiseAND(7), "fh_size": content_at + v["fh_content_size"]}
+
+
+def _assembled(v: dict[str, Column]) -> _Fields:
+    n, m, flags, single, skippable = v["fh_n"], v["fh_m"], v["fh_flags"], v["fh_single"], v["fh_skip"]
     error = first_true(
         (n.isNull() | (n < 4), F.lit("PrefixUnknown")),
         (skippable, F.when(n < 8, "SrcSizeWrong")),
@@ -111,29 +120,54 @@ def _fields(b: Column) -> _Fields:
         (n < 5, F.lit("SrcSizeWrong")),
         (flags.bitwiseAND(8) != 0, F.lit("FrameParameterUnsupported")),
         (~single & (n <= 5), F.lit("SrcSizeWrong")),
-        (~single & (log > WINDOW_LOG_MAX), F.lit("WindowTooLarge")),
-        (n < size, F.lit("SrcSizeWrong")),
+        (~single & (v["fh_log"] > WINDOW_LOG_MAX), F.lit("WindowTooLarge")),
+        (n < v["fh_size"], F.lit("SrcSizeWrong")),
     )
-    ids = F.when(skippable, m.bitwiseAND(15)).otherwise(dict_id)
-    contents = F.when(skippable, _big(number_of(head, 4, 4))).otherwise(content)
-    windows = F.when(skippable, _big(F.lit(0))).when(single, content).otherwise(_big(window))
-    return _Fields(skippable, single, F.when(skippable, 8).otherwise(size), windows, ids, ~skippable & (flags.bitwiseAND(4) != 0), contents, error)
+    ids = F.when(skippable, m.bitwiseAND(15)).otherwise(v["fh_id"])
+    contents = F.when(skippable, _big(number_of(v["fh_head"], 4, 4))).otherwise(v["fh_content"])
+    windows = F.when(skippable, _big(F.lit(0))).when(single, v["fh_content"]).otherwise(_big(v["fh_window"]))
+    return _Fields(skippable, single, F.when(skippable, 8).otherwise(v["fh_size"]), windows, ids, ~skippable & (flags.bitwiseAND(4) != 0), contents, error)
+
+
+def _fields(b: Column) -> _Fields:
+    v = _basics(b)
+    v |= _places(v)
+    return _assembled(v | _values(v))
+
+
+def _typed(f: _Fields) -> dict[str, Column]:
+    """HEADER_TYPE's fields."""
+    ok = f.error.isNull()
+    return {
+        "frame_type": F.when(ok, F.when(f.skippable, "skippable").otherwise("regular")),
+        "header_size": F.when(ok, f.size).cast("bigint"),
+        "window_size": F.when(ok, f.window),
+        "block_size_max": F.when(ok, F.least(f.window, _big(F.lit(BLOCK_MAX)))).cast("bigint"),
+        "dict_id": F.when(ok, f.dict_id).cast("bigint"),
+        "checksum_flag": F.when(ok, f.checksum),
+        "content_size": F.when(ok, f.content),
+        "error_name": f.error,
+    }
+
+
+def with_frame_header(df: DataFrame, frame_col: str, name: str = "header") -> DataFrame:
+    """df with frame_header of a column, made in steps: the form for many rows, as its plan is short."""
+    first = _basics(F.col(frame_col))
+    v = {k: F.col(k) for k in first}
+    places = _places(v)
+    v |= {k: F.col(k) for k in places}
+    values = _values(v)
+    v |= {k: F.col(k) for k in values}
+    fields = _assembled(v)
+    named = {k: getattr(fields, k) for k in fields.__dataclass_fields__}
+    held = _Fields(**{k: F.col(f"fh_f_{k}") for k in named})
+    typed = _typed(held)
+    return in_steps(df, name, first, places, values, {f"fh_f_{k}": c for k, c in named.items()}, typed)
 
 
 def frame_header(b: Column) -> Column:
     """HEADER_TYPE of the frame at the start of b. Fields are null where the header can't be read; error_name says why."""
-    f = _fields(b)
-    ok = f.error.isNull()
-    return F.struct(
-        F.when(ok, F.when(f.skippable, "skippable").otherwise("regular")).alias("frame_type"),
-        F.when(ok, f.size).cast("bigint").alias("header_size"),
-        F.when(ok, f.window).alias("window_size"),
-        F.when(ok, F.least(f.window, _big(F.lit(BLOCK_MAX)))).cast("bigint").alias("block_size_max"),
-        F.when(ok, f.dict_id).cast("bigint").alias("dict_id"),
-        F.when(ok, f.checksum).alias("checksum_flag"),
-        F.when(ok, f.content).alias("content_size"),
-        f.error.alias("error_name"),
-    ).cast(HEADER_TYPE)
+    return F.struct(*[c.alias(k) for k, c in _typed(_fields(b)).items()]).cast(HEADER_TYPE)
 
 
 def frame_header_at(b: Column, offset: Column | int) -> Column:

@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequarry.functions.bytes import first_true, high_bit
+from framequarry.functions.bytes import first_true, high_bit, in_steps
 from framequarry.functions.frames import BLOCK_MAX, WINDOW_LOG_MAX, compress_bound, written_header_size
 
 # Fixed values.
@@ -88,18 +88,10 @@ def _two_to(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
 
 
-def _steps(df: DataFrame, name: str, *steps: dict[str, Column]) -> DataFrame:
-    """df with the struct of the last step's columns. Each step is a projection over the columns of those before it, so what is used often is made once, in generated code."""
-    out = df
-    for step in steps[:-1]:
-        out = out.withColumns(step)
-    return out.withColumn(name, F.struct(*[c.alias(k) for k, c in steps[-1].items()])).select(*[c for c in df.columns if c != name], name)
-
-
 def with_frame_plan(df: DataFrame, n: Column, window_log: Column, ldm: Column, dict_id: Column, name: str = "plan") -> DataFrame:
     """df with what a frame of n bytes declares: struct<single_segment, window_size, dict_id, history_limit, search_window>. window_log 0: from the size."""
     c = F.col
-    return _steps(
+    return in_steps(
         df,
         name,
         {"fp_n": n.cast("bigint"), "fp_ldm": ldm},
@@ -129,7 +121,7 @@ def with_job_split(
     up = lambda a, b: F.floor((a + b - 1) / b).cast("bigint")
     share = F.greatest(c("js_log") - (9 - overlap_log(strategy)), F.lit(0))
     with_ldm = F.greatest(F.least(c("js_log"), F.greatest(high_bit(c("js_even")) - 2, F.lit(0))) - (9 - overlap_log(strategy)), F.lit(0))
-    return _steps(
+    return in_steps(
         df,
         name,
         {"js_n": n.cast("bigint"), "js_log": high_bit(c(plan)["history_limit"]), "js_most": F.greatest(threads, F.lit(1)) * JOBS_PER_WORKER},

@@ -215,6 +215,15 @@ def test_headers_run_in_generated_code(spark, tmp_path):
     assert lines and all("*(1)" in x for x in lines)
 
 
+def test_headers_in_steps_are_the_same(spark):
+    rng = random.Random(3)
+    frames = [bytes.fromhex(h) for _, h, _ in GOLDEN] + [bytes.fromhex(h) for h in LEGACY_FRAMES.values()] + [rng.randbytes(rng.randint(0, 20)) for _ in range(50)]
+    frames += [b"\x28\xb5\x2f\xfd" + rng.randbytes(rng.randint(0, 16)) for _ in range(300)] + [b"\x53\x2a\x4d\x18" + rng.randbytes(n) for n in (0, 3, 4, 9)]
+    df = frame_df(spark, [(str(i), b) for i, b in enumerate([*frames, None])]).withColumn("a", fr.frame_header(F.col("b")))
+    out = fr.with_frame_header(df, "b", "h")
+    assert out.columns == ["name", "b", "a", "h"] and out.where(~F.col("a").eqNullSafe(F.col("h").cast(fr.HEADER_TYPE))).count() == 0
+
+
 def test_offsets_of_a_hot_key(spark):
     rng = random.Random(4)
     rows = [("hot" if i % 3 else rng.choice(["a", None]), rng.randint(0, 10**9), rng.randint(0, 500)) for i in range(3000)]
