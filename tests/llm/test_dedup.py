@@ -262,6 +262,13 @@ def test_simhash_of_odd_rows(spark):
     assert sorted((r.doc_id for r in kept), key=str) == [4, 9, None]
 
 
+def test_simhash_query_takes_the_least_id_that_is_one(spark, tmp_path):
+    rows = [(None, "a b c d"), (3, "A B C D"), (7, "a b c d"), (None, "q w e r t y"), (4, None), (None, ""), (9, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = [(r.doc_id, r.component_id) for r in queries.op6_simhash_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted([(None, 3), (3, 3), (7, 3), (None, None), (4, 4), (None, 4), (9, 4)], key=str)
+
+
 def test_different_texts_under_one_id_stay(spark):
     rng = random.Random(5)
     texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(80)) for _ in range(6)]
