@@ -30,11 +30,9 @@ def stop_mask(rate: int, min_match: int = MIN_MATCH) -> int:
     return ((1 << rate) - 1) << (min(min_match, 64) - rate) if 0 < rate <= min(min_match, 64) else (1 << rate) - 1
 
 
-def split_points(data: bytes, rate: int = 7, min_match: int = MIN_MATCH) -> np.ndarray:
-    """Offsets after which the hash fires, the first min_match bytes only feeding it."""
+def _hashes(data: bytes) -> np.ndarray:
+    """The hash after each byte."""
     n = len(data)
-    if n <= min_match:
-        return np.empty(0, np.int64)
     h = gear_table()[np.frombuffer(data, np.uint8)]
     width = 1
     while width < 64:  # sums over 2, 4, ... 64 bytes
@@ -45,7 +43,35 @@ def split_points(data: bytes, rate: int = 7, min_match: int = MIN_MATCH) -> np.n
     early = np.arange(min(64, n), dtype=np.uint64)  # the seed is still in the first 64 hashes
     at = early + np.uint64(1)
     h[: len(early)] += np.where(at < 64, np.uint64(SEED) << np.minimum(at, np.uint64(63)), np.uint64(0))
-    fires = np.flatnonzero(h & np.uint64(stop_mask(rate, min_match)) == 0) + 1
+    return h
+
+
+def split_points(data: bytes, rate: int = 7, min_match: int = MIN_MATCH) -> np.ndarray:
+    """Offsets after which the hash fires, the first min_match bytes only feeding it."""
+    if len(data) <= min_match:
+        return np.empty(0, np.int64)
+    fires = np.flatnonzero(_hashes(data) & np.uint64(stop_mask(rate, min_match)) == 0) + 1
+    return fires[fires > min_match]
+
+
+def _lowest(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of `width` values that begins at a position, shorter at the end."""
+    n = len(h)
+    rows = np.full(-(-(n + width) // width) * width, np.iinfo(np.uint64).max)
+    rows[:n] = h
+    rows = rows.reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1 : n + width - 1])
+
+
+def match_points(data: bytes, rate: int = 7, min_match: int = MIN_MATCH) -> np.ndarray:
+    """Split points, and the places whose hash is the least of 2**rate before and after them: texts of few different windows may have no split point, but never none of these."""
+    if len(data) <= min_match:
+        return np.empty(0, np.int64)
+    h, width = _hashes(data), 1 << rate
+    least = (h == _lowest(h, width)) & (h == _lowest(h[::-1], width)[::-1])
+    fires = np.flatnonzero(least | (h & np.uint64(stop_mask(rate, min_match)) == 0)) + 1
     return fires[fires > min_match]
 
 
@@ -95,26 +121,31 @@ def repeated_chunks(chunks: DataFrame, id_col: str, min_length: int = MIN_MATCH)
 def matches_of(data: bytes, window: int, rate: int = 7, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """(start, length, distance) of long matches of a buffer, in order and without overlap.
 
-    Split points are candidates: the min_match bytes before one are looked up among those before earlier points no farther than the window, the latest first, and the match is
-    extended both ways: back to the end of the match before, and forward as far as the bytes are equal.
+    Candidates are match_points: the min_match bytes before one are looked up among those before earlier points no farther than the window. The latest, the earliest and the
+    distance of the match before are tried, each extended both ways: back to the end of the match before, and forward as far as the bytes are equal. The longest is taken.
     """
-    seen: dict[bytes, int] = {}
-    out, done = [], 0
-    for p in split_points(data, rate, min_match).tolist():
+    latest: dict[bytes, int] = {}
+    earliest: dict[bytes, int] = {}
+    out, done, before = [], 0, 0
+    for p in match_points(data, rate, min_match).tolist():
         key = data[p - min_match : p]
-        q = seen.get(key)
-        seen[key] = p
-        if q is None or p < done or p - q > window:
+        q = latest.get(key)
+        latest[key] = p
+        first = earliest.setdefault(key, p)
+        if p < done:
             continue
-        start, distance = p - min_match, p - q
-        if start < done:
-            start = done
-        while start > done and start - distance > 0 and data[start - 1] == data[start - 1 - distance]:
-            start -= 1
-        length = common_length(data, start - distance, start, len(data))
+        best = (0, 0, 0)
+        for distance in {p - (p if q is None else q), p - first, before}:
+            start = max(p - min_match, done)
+            if not 0 < distance <= min(window, start) or data[start:p] != data[start - distance : p - distance]:
+                continue
+            while start > done and start - distance > 0 and data[start - 1] == data[start - 1 - distance]:
+                start -= 1
+            best = max(best, (common_length(data, start - distance, start, len(data)), -start, distance))
+        length, start, distance = best[0], -best[1], best[2]
         if length >= min_match:
             out.append((start, length, distance))
-            done = start + length
+            done, before = start + length, distance
     return out
 
 

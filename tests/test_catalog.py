@@ -275,6 +275,19 @@ def test_long_matches(seed):
     assert sum(n for _, n, _ in found) > 0.6 * len(data)
 
 
+@pytest.mark.parametrize("word", ["a", "ab ", "Ñíue ", "same line of some words\n", "0123456789" * 30])
+def test_long_matches_of_texts_without_split_points(word):
+    rng = random.Random(3)
+    for tail in ("", "".join(rng.choices("abcdefghij ", k=700)), "xyz" * 500):
+        text = (word * (5000 // len(word.encode()) + 1) + tail).encode()
+        data = text + text
+        found = gear.matches_of(data, 1 << 27)
+        assert sum(n for _, n, _ in found) >= 0.8 * len(text)
+        assert all(0 < d <= at and data[at : at + n] == data[at - d : at - d + n] for at, n, d in found)
+    h = gear._hashes(data)
+    assert gear._lowest(h, 128).tolist() == [h[i : i + 128].min() for i in range(len(h))]
+
+
 def test_one_frame_of_one_large_buffer(spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
