@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from framequarry import catalog
-from framequarry.operators import codec, dictionary, gear, prepared, stats, walk
+from framequarry.operators import codec, dictionary, gear, prepared, stats, tables, walk
 from framequarry.operators.decoder import StreamDecoder
 from framequarry.sources import files
 from framequarry.streaming.chunks import compress_stream, decompress_stream
@@ -275,6 +275,16 @@ def test_long_matches(seed):
     assert sum(n for _, n, _ in found) > 0.6 * len(data)
 
 
+def test_frames_of_a_buffer_stay_together(spark):
+    frames = [codec.encode(bytes([65 + i % 26]) * i, codec.CompressOptions()) for i in range(300)]
+    df = spark.createDataFrame([(1, bytearray(b"".join(frames))), (2, bytearray(b"")), (3, bytearray(frames[0] + b"x"))], "i long, b binary")
+    each = sorted(map(tuple, tables.frames(df, "b").collect()))
+    listed = {r.i: [(r.i, *f) for f in r.frames] for r in tables.frame_lists(df, "b").collect()}
+    assert sorted(x for rows in listed.values() for x in rows) == each
+    assert [f[4] for f in listed[1]] == list(map(len, frames))
+    assert listed[2] == [] and listed[3][-1][-1] == "SrcSizeWrong"
+
+
 @pytest.mark.parametrize("word", ["a", "ab ", "Ñíue ", "same line of some words\n", "0123456789" * 30])
 def test_long_matches_of_texts_without_split_points(word):
     rng = random.Random(3)
