@@ -275,6 +275,21 @@ def test_long_matches(seed):
     assert sum(n for _, n, _ in found) > 0.6 * len(data)
 
 
+@pytest.mark.parametrize("name", ["plain_encoder", "plain_decoder", "roundtrip_checksum", "dict_roundtrip", "prepared_dictionary", "plain_strategies", "legacy_roundtrip"])
+def test_coders_in_python_use_all_cores(spark, sf_dir, name):
+    plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(doc_id" in plan
+
+
+def test_few_values_are_held_at_once():
+    taken = []
+    rows = ((taken.append(i) or bytes(1 << 20), None) for i in range(600))
+    for k, piece in enumerate(codec._by_value(rows, codec._RESULT_TYPES)):
+        assert len(piece) == 4 and len(taken) == 4 * (k + 1)
+    assert len(taken) == 600
+    assert [len(x) for x in codec._by_value(((None, "x") for _ in range(600)), codec._RESULT_TYPES)] == [256, 256, 88]
+
+
 def test_frames_of_a_buffer_stay_together(spark):
     frames = [codec.encode(bytes([65 + i % 26]) * i, codec.CompressOptions()) for i in range(300)]
     df = spark.createDataFrame([(1, bytearray(b"".join(frames))), (2, bytearray(b"")), (3, bytearray(frames[0] + b"x"))], "i long, b binary")
